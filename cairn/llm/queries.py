@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, canonical, mixing, splitting, survivors
+from cairn.llm import bpe, canonical, matching, mixing, splitting, survivors, variants
 from cairn.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,24 @@ def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return typed.join(none, ["record_id", "field"]).groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_pairs(table(spark, sf, "source_record"), table(spark, sf, "tower"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_confidence(spark, sf).select("record_id", "tower_id")
+
+
+def p7_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match_records(table(spark, sf, "source_record"), table(spark, sf, "tower"))
+
+
+def p7_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
+    """One record key for each tower and one tower for each key, of highest total confidence."""
+    records, towers = matching.record_profiles(table(spark, sf, "source_record")), matching.tower_profiles(table(spark, sf, "tower"))
+    return matching.one_to_one(matching.candidates(records, towers)).select("record", F.col("entity").alias("tower_id"), F.round("confidence", 6).alias("confidence"))
+
+
 V_RANK = {"verified": 4, "researched": 3, "facts": 2, "unverified": 1}
 
 
@@ -100,9 +118,13 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_truth": p6_truth,
     "p6_quality": p6_quality,
+    "p7_found": p7_found,
+    "p7_confidence": p7_confidence,
+    "p7_one_to_one": p7_one_to_one,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p9_mix": p9_mix,
