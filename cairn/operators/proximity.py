@@ -30,7 +30,15 @@ def usable(lat: Column, lon: Column) -> Column:
 def haversine(lat1, lon1, lat2, lon2, radius_m: float = EARTH_M) -> Column:
     """Great-circle distance of Columns in degrees."""
     h = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
-    return 2 * radius_m * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * radius_m * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # not least(), which skips nulls
+
+
+def repaired(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """A position whose parts were exchanged, put right where that shows; null where it is of no use."""
+    swapped = (F.abs(lat) > 90) & (F.abs(lon) <= 90) & (F.abs(lat) <= 180)
+    y, x = F.when(swapped, lon).otherwise(lat), F.when(swapped, lat).otherwise(lon)
+    fine = usable(y, x)
+    return F.when(fine, y), F.when(fine, x)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -40,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plain(frame: pd.DataFrame, text: Sequence[str] = ()) -> pd.DataFrame:
+    """Text as objects with None: an Arrow string of several chunks, or a text column of nothing but NaN, can't be sent back."""
+    out = frame.copy()
+    for c in {*text, *(c for c, t in frame.dtypes.items() if isinstance(t, pd.StringDtype))}:
+        out[c] = frame[c].astype(object).where(frame[c].notna(), None)
+    return out
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Regroup sorted batches so that every group of equal keys lies in one frame; the last, open group is carried on."""
     held: list[pd.DataFrame] = []
@@ -55,7 +63,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
         if start:
             held.append(b.iloc[:start])
         if held:
-            yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+            yield plain(pd.concat(held, ignore_index=True)) if len(held) > 1 else held[0].reset_index(drop=True)
         held = [b.iloc[start:]]
     if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        yield plain(pd.concat(held, ignore_index=True)) if len(held) > 1 else held[0].reset_index(drop=True)
