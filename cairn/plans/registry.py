@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import general
+from cairn.plans import entities, features, general
 
-_MODULES = (general,)
+_MODULES = (general, features, entities)
 
 
 def queries() -> dict:
