@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import entities, features, general
+from cairn.plans import entities, features, general, kernels
 
-_MODULES = (general, features, entities)
+_MODULES = (general, features, entities, kernels)
 
 
 def queries() -> dict:
