@@ -49,19 +49,30 @@ class Plan:
     shards: int
 
 
-def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], block: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> Plan:
-    """The largest mix in which every source keeps its share and no block is used more than max_repeats times.
+def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], block: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, total: int | None = None) -> Plan:
+    """How many slots each source fills in a mix of `total` tokens, by default as many as the sources hold.
 
-    Sources of no tokens or no weight are left out, and the other weights are scaled to sum to 1.
+    A source gets its weight's share, at most max_repeats times its size; what a source at that limit can't give, the others give
+    by their weights, as far as their limits allow. Sources of no tokens or no weight are left out, and the other weights
+    are scaled to sum to 1.
     """
     rows = sorted((s, float(w), int(m)) for s, w, m in targets if w and w > 0 and m and m > 0 and sizes.get(s, 0) > 0)
-    total = sum(w for _, w, _ in rows)
-    names, weights, repeats = [r[0] for r in rows], [r[1] / total for r in rows], [r[2] for r in rows]
+    scale = sum(w for _, w, _ in rows)
+    names, weights, repeats = [r[0] for r in rows], [r[1] / scale for r in rows], [r[2] for r in rows]
     tokens = [int(sizes[s]) for s in names]
     blocks = [-(-n // block) for n in tokens]
-    most = min((m * n / w for m, n, w in zip(repeats, tokens, weights, strict=True)), default=0)
-    # the mean block is a little short of the full length, as a source's last one is
-    slots = [min(m * b, max(1, round(w * most / (n / b)))) for m, b, w, n in zip(repeats, blocks, weights, tokens, strict=True)]
+    caps = [m * n for m, n in zip(repeats, tokens, strict=True)]
+    wanted = min(sum(tokens) if total is None else total, sum(caps))
+    given, free, left = [0.0] * len(rows), set(range(len(rows))), float(wanted)
+    while free:
+        level = left / sum(weights[i] for i in free)
+        full = {i for i in free if caps[i] <= level * weights[i]}
+        for i in full or free:
+            given[i] = float(caps[i]) if full else level * weights[i]
+        left -= sum(given[i] for i in full)
+        free = free - full if full else set()
+    # a source's mean block is a little short of the full length, as its last one is
+    slots = [min(m * b, max(1, round(g / (n / b)))) for m, b, g, n in zip(repeats, blocks, given, tokens, strict=True)]
     return Plan(names, weights, repeats, tokens, blocks, slots, max(1, -(-sum(slots) // shard_slots)) if slots else 0)
 
 
@@ -126,7 +137,7 @@ def spans(sizes: DataFrame, block: int, seed: int = 0, bucket_docs: int = 50_000
     return per.select("source", "block", "key", (low - F.col("start")).alias("from_token"), (high - low).alias("tokens"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, ranks: dict[bytes, int], seed: int = 0, block: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, ranks: dict[bytes, int], seed: int = 0, block: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, total: int | None = None) -> DataFrame:
     """(shard, slot, source, pass_no, block, doc_id, from_token, tokens): the mix as parts of texts, in order of shard and slot.
 
     A slot is one block of one source. Texts of a null source, of a source without target, and without tokens take no part; an
@@ -139,7 +150,7 @@ def mix(docs: DataFrame, targets: DataFrame, ranks: dict[bytes, int], seed: int
         raise ValueError(f"more than {MOST_SOURCES} sources")
     names = [r["source"] for r in rows]
     held = {r["source"]: r["n"] for r in sizes.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    p = plan(held, [(r["source"], r["weight"], r["max_repeats"]) for r in rows], block, shard_slots)
+    p = plan(held, [(r["source"], r["weight"], r["max_repeats"]) for r in rows], block, shard_slots, total)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
