@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -55,13 +54,26 @@ _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _PARTS = re.compile(r"\s+\S*|\S+")
 
 
+#: Begins a part that isn't to be read with a space before it; no text can hold it.
+_BARE = "\ud800"
+
+
 def parts_of(text: str) -> list[str]:
-    """Parts of a text, each cut where the pattern cuts too (before white space that follows a character); all together are
-    the text. Splitting like this is much quicker than the pattern, which then sees each distinct part once."""
+    """Parts of a text, each cut where the pattern cuts too (before white space that follows a character). A part stands for
+    itself with a space before it, or, behind the mark _BARE, for itself; all together are the text. Splitting like this is
+    much quicker than the pattern, which then sees each distinct part once."""
     if _SPACE_AFTER_SPACE.search(text):
-        return _PARTS.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        return [p[1:] if p[0] == " " else _BARE + p for p in _PARTS.findall(text)]
+    parts = text.split(" ")
+    if parts[0]:
+        parts[0] = _BARE + parts[0]
+        return parts
+    return parts[1:]
+
+
+def whole_part(part: str) -> str:
+    """The text that a part stands for."""
+    return part[1:] if part[:1] == _BARE else " " + part
 
 
 class TextEncoder:
@@ -81,7 +93,7 @@ class TextEncoder:
             known.clear()
             new = set(parts)
         for p in new:
-            known[p] = self.encoding.encode_ordinary(p)
+            known[p] = self.encoding.encode_ordinary(whole_part(p))
         return list(map(known.__getitem__, parts))
 
     def ids(self, text: str | None) -> list[int]:
@@ -150,14 +162,7 @@ class Bpe:
 
     def fold_words(self, words: DataFrame) -> DataFrame:
         """words(word) with `ids`."""
-        short = words.where(F.octet_length("word") <= LONG).select("word", self.fold(self.as_bytes(F.col("word"))).alias("ids"))
-        ranks = self.ranks
-
-        def long(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b.assign(ids=[heap_merge(w.encode(), ranks) for w in b["word"]])
-
-        return short.unionByName(words.where(F.octet_length("word") > LONG).mapInPandas(long, "word string, ids array<int>"))
+        return words.select("word", self.fold(self.as_bytes(F.col("word"))).alias("ids"))
 
     def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_chars: int = BUCKET_CHARS) -> DataFrame:
         """(key, ids): ids of each text without special tokens, whose strings are ordinary text. Null and empty texts give [].
@@ -170,38 +175,62 @@ class Bpe:
         docs = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
         size = docs.agg(F.sum(F.octet_length("_text").cast("bigint")).alias("n")).first()["n"] or 0
         buckets = max(1, -(-size // bucket_chars))
-        dealt = docs.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_text"), F.lit(buckets)).cast("int")).repartition("_bucket")
+        dealt = docs.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_text"), F.lit(buckets)).cast("int"))
+        ranks = self.ranks
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[int, set[str]] = {}
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                for n, s in seen.items():
+                    got = [w for w in set(chain.from_iterable(map(_WORDS.findall, map(whole_part, s)))) if len(w) <= LONG // 4]
+                    for at in range(0, len(got), 50_000):
+                        part = got[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(part, pa.string())], ["_bucket", "word"])
+                seen.clear()
+
+            held = 0
             for b in batches:
                 for n, t in zip(b.column("_bucket").to_pylist(), b.column("_text").to_pylist(), strict=True):
                     if n not in seen:
                         seen[n] = set()
                     seen[n].update(parts_of(t))
-            for n, s in seen.items():
-                got = list(set(chain.from_iterable(map(_WORDS.findall, s))))
-                for at in range(0, len(got), 50_000):
-                    part = got[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(part, pa.string())], ["_bucket", "word"])
+                    held += len(t)
+                if held > 8 * bucket_chars:  # parts of several buckets' texts at most
+                    yield from flush()
+                    held = 0
+            yield from flush()
 
-        pairs = cut(dealt.mapInArrow(gather, "_bucket int, word string"))
+        pairs = cut(dealt.select("_bucket", "_text").mapInArrow(gather, "_bucket int, word string").distinct())
         dictionary = pairs.join(self.fold_words(pairs.select("word").distinct()), "word")
 
         def apply(texts: pa.Table, entries: pa.Table) -> pa.Table:
             ids = entries.column("ids").combine_chunks()
             offsets, flat = ids.offsets.to_pylist(), ids.values.to_pylist()
             known = {w: flat[i:j] for w, i, j in zip(entries.column("word").to_pylist(), offsets[:-1], offsets[1:], strict=True)}
-            of: dict[str, list[int]] = {}
-            ends, out = [0], array("i")
+            number: dict[str, int] = {}
+            pool, starts = array("i"), array("q", [0])
+            counts, every = [], array("i")
             for t in texts.column("_text").to_pylist():
                 parts = parts_of(t)
-                for p in set(parts).difference(of):
-                    of[p] = list(chain.from_iterable(map(known.__getitem__, _WORDS.findall(p))))
-                out.extend(list(chain.from_iterable(map(of.__getitem__, parts))))
-                ends.append(len(out))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, np.int32) if len(out) else np.zeros(0, np.int32)))
-            return pa.table({key: texts.column("_key"), "ids": lists})
+                for p in set(parts).difference(number):
+                    number[p] = len(starts) - 1
+                    for w in _WORDS.findall(whole_part(p)):
+                        got = known.get(w)
+                        pool.extend(heap_merge(w.encode(), ranks) if got is None else got)
+                    starts.append(len(pool))
+                counts.append(len(parts))
+                every.extend(map(number.__getitem__, parts))
+            # the ids of all parts, one behind the other: each part's run is read from the pool
+            start = np.frombuffer(starts, np.int64)
+            part = np.frombuffer(every, np.int32) if len(every) else np.zeros(0, np.int32)
+            size = np.diff(start)[part] if len(part) else np.zeros(0, np.int64)
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            place = np.arange(total) + np.repeat(start[part] - (ends - size), size) if total else np.zeros(0, np.int64)
+            got = np.frombuffer(pool, np.int32)[place] if total else np.zeros(0, np.int32)
+            last = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.array(counts, dtype=np.int64))))]
+            return pa.table({key: texts.column("_key"), "ids": pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(got))})
 
         kind = docs.schema["_key"].dataType.simpleString()
         return dealt.groupBy("_bucket").cogroup(dictionary.groupBy("_bucket")).applyInArrow(apply, f"{key} {kind}, ids array<int>")

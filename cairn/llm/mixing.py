@@ -172,7 +172,8 @@ def mix(docs: DataFrame, targets: DataFrame, ranks: dict[bytes, int], seed: int
     spark = docs.sparkSession
     slots = spark.range(0, p.shards, 1, max(1, min(p.shards, 1024))).mapInPandas(draw, "shard bigint, slot bigint, source string, pass_no bigint, block bigint")
     kept = sizes.where(F.col("source").isin(p.sources)) if p.sources else sizes.where(F.lit(False))
-    return slots.join(spans(kept, block, seed), ["source", "block"]).select("shard", "slot", "source", "pass_no", "block", F.col("key").alias("doc_id"), "from_token", "tokens")
+    # Spark takes the few shards for the size of their slots and would broadcast them, though they grow with the texts
+    return slots.hint("merge").join(spans(kept, block, seed), ["source", "block"]).select("shard", "slot", "source", "pass_no", "block", F.col("key").alias("doc_id"), "from_token", "tokens")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
