@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.jsonindex import SCALAR, STRING, JsonIndex
+from cairn.session import plain
 
 LINK = "record_id bigint, child string, pos int, sub_pos int"
 
@@ -41,10 +42,14 @@ def typed_links(df: DataFrame, key: str = "record_id") -> DataFrame:
 
 
 def _json_rows(df: DataFrame, key: str, column: str, make: Callable[[JsonIndex, np.ndarray], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    text = [c.split()[0] for c in schema.split(", ") if c.endswith(" string")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids = b["id"].to_numpy()
-            yield from make(JsonIndex(b["payload"].tolist()), ids)
+            for frame in make(JsonIndex(b["payload"].tolist()), ids):
+                if len(frame):
+                    yield plain(frame, text)
 
     return df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.col(column).alias("payload")).mapInPandas(run, schema)
 

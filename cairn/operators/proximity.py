@@ -149,7 +149,8 @@ def region_of(df: DataFrame, polygons: DataFrame, key: str = "record_id", lat: s
     """
     points = df.where(usable(F.col(lat), F.col(lon))).select(F.col(key).alias("id"), F.col(lat).alias("y"), F.col(lon).alias("x"), F.floor(lat).cast("int").alias("cy"), F.floor(lon).cast("int").alias("cx"))
     cells = (
-        polygons.where("x0 <= x1 and y0 <= y1")
+        polygons.select("code", "rings", "x0", "y0", "x1", "y1")
+        .where("x0 <= x1 and y0 <= y1")
         .withColumn("cy", F.explode(F.sequence(F.floor("y0").cast("int"), F.floor("y1").cast("int"))))
         .withColumn("cx", F.explode(F.sequence(F.floor("x0").cast("int"), F.floor("x1").cast("int"))))
     )
