@@ -201,6 +201,12 @@ def sight(field: HeightField, lat: float, lon: float, above: float, targets: pd.
     return pd.DataFrame(out, columns=["target", "metres", "clearance_deg", "visible"])
 
 
+def _spread(observers: DataFrame, *columns: str) -> DataFrame:
+    """Observers dealt over all tasks: few bytes, but much work each."""
+    n = int(observers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return observers.where("lat is not null and lon is not null").select(*columns).repartition(n)
+
+
 def panoramas(observers: DataFrame, field: HeightField, **options) -> DataFrame:
     """observers(id, lat, lon, above_ground_m) -> (id, az, layer, horizon_deg, crest_m); nothing for an observer without a position."""
 
@@ -209,7 +215,7 @@ def panoramas(observers: DataFrame, field: HeightField, **options) -> DataFrame:
             for o in b.itertuples(index=False):
                 yield panorama(field, o.lat, o.lon, o.above_ground_m, **options).assign(id=o.id)[["id", "az", "layer", "horizon_deg", "crest_m"]]
 
-    return observers.where("lat is not null and lon is not null").select("id", "lat", "lon", "above_ground_m").mapInPandas(run, "id string, az double, layer int, horizon_deg double, crest_m double")
+    return _spread(observers, "id", "lat", "lon", "above_ground_m").mapInPandas(run, "id string, az double, layer int, horizon_deg double, crest_m double")
 
 
 def overlay(observers: DataFrame, field: HeightField, **options) -> DataFrame:
@@ -221,5 +227,5 @@ def overlay(observers: DataFrame, field: HeightField, **options) -> DataFrame:
             for o in b.itertuples(index=False):
                 yield viewshed(field, o.lat, o.lon, o.above_ground_m, **options)
 
-    cells = observers.where("lat is not null and lon is not null").select("lat", "lon", "above_ground_m").mapInPandas(run, "ix bigint, iy bigint, cell_m2 double")
+    cells = _spread(observers, "lat", "lon", "above_ground_m").mapInPandas(run, "ix bigint, iy bigint, cell_m2 double")
     return cells.groupBy("ix", "iy").agg(F.least(F.count(F.lit(1)), F.lit(255)).alias("seen_by"), F.first("cell_m2").alias("cell_m2"))
