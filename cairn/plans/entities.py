@@ -285,7 +285,7 @@ ORACLE = {
     "activity_semi_join": "select record_id, source from source_record where len(list_filter(events, lambda x: x.event = 'restored')) > 0",
     "dangling_towers": "select doc_id, tower_id from documents where tower_id is not null and tower_id not in (select id from tower)",
     "unmatched_counties": f"select region, {_KEY.format('county')} as ck, count(*) as n from source_record r where county is not null and not exists (select 1 from county c where c.region = r.region and {_KEY.format('c.name')} = {_KEY.format('r.county')}) group by 1, 2",
-    "audit_coverage": f"with {_AUD} select source, count(*) as records, count_if(held) as held, count_if(reason = 'duplicate_key') as repeats, count_if(reason = 'no_name') as no_name, count_if(reason = 'no_coordinates') as no_coordinates, count_if(reason = 'coordinates_unusable') as unusable, count_if(reason = 'not_matched') as unmatched from b group by rollup(source)",
+    "audit_coverage": f"with {_AUD} select source, count(*) as records, count_if(held) as held, count_if(coalesce(reason, '') = 'duplicate_key') as repeats, count_if(coalesce(reason, '') = 'no_name') as no_name, count_if(coalesce(reason, '') = 'no_coordinates') as no_coordinates, count_if(coalesce(reason, '') = 'coordinates_unusable') as unusable, count_if(coalesce(reason, '') = 'not_matched') as unmatched from b group by rollup(source)",
     "not_held": f"with {_AUD} select source, coalesce(region, '') as region, record_id, reason from b where not held",
     "validate_towers": " union all ".join(f"select id, '{lv}' as level, '{m}' as message from tower where {c}" for m, (lv, c) in _RULES.items()),
     "duplicate_names": f"select region, {_FOLD.format('name')} as name_key, count(*) as n from tower group by 1, 2 having count(*) > 1",

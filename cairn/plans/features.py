@@ -153,7 +153,7 @@ ORACLE = {
   union all select feature_id, 'unknown', y0, 2026 from b where y0 is not null and y1 is null and not st union all select feature_id, 'gone', y1, 2026 from b where y1 is not null and not st)
  select * from x where to_year > from_year""",
     "history_counts": """select coalesce(cc, 'US') as country, count(*) as total, count_if(y0 is not null) as with_start, count_if(y1 is not null) as with_end, count_if(y0 is not null and y1 is not null) as with_both,
- count_if(s in ('standing', 'replica')) as standing, count_if(s in ('standing', 'replica') and y0 is not null) as standing_dated, count_if(s = 'gone') as gone, count_if(s = 'gone' and y1 is not null) as gone_dated
+ count_if(coalesce(s, '') in ('standing', 'replica')) as standing, count_if(coalesce(s, '') in ('standing', 'replica') and y0 is not null) as standing_dated, count_if(coalesce(s, '') = 'gone') as gone, count_if(coalesce(s, '') = 'gone' and y1 is not null) as gone_dated
  from map_feature group by rollup(coalesce(cc, 'US'))""",
     "meta_counts": """with f as (select s, k, r, coalesce(cc, 'US') as cc, v, m from map_feature)
  select s, k, r, cc, v, m, grouping(s, k, r, cc, v, m) as gid, count(*) as n from f group by grouping sets ((s), (k), (r), (cc), (v), (m), ())""",
