@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cairn.functions import mining as M
 from cairn.functions import text as T
 from cairn.operators import audit, graph, places, resolve
 from cairn.session import table
@@ -253,12 +254,18 @@ def url_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _r(spark, sf).where("url is not null").select("record_id", T.register_url_key(F.col("url")).alias("url_key"))
 
 
+def mined_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """F-29, F-37: year of building, feet and number of footnotes' urls that texts state."""
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", M.last_built_year(F.col("text")).alias("built"), M.feet(F.col("text")).alias("feet"), F.size(M.footnote_urls(F.col("text"))).alias("urls"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         first_address_join, activity_semi_join, dangling_towers, unmatched_counties, audit_coverage, not_held, validate_towers, duplicate_names, story_footnotes, snapshot_changes, research_queue, tier_rollup,
         repeat_keys, reprint_dedupe, heading_fill, radius_join, nearest_towers, band_partners, box_join, coordinate_flags, gazetteer_look_up, redirect_closure, shared_points, greedy_collapse, resolution,
-        merged_fields, lineage_verification, allocated_ids, set_operations, second_without_first, quote_containment, text_lines_context, stratified_cap, top_kinds, slug_ids, sentence_count, url_keys,
+        merged_fields, lineage_verification, allocated_ids, set_operations, second_without_first, quote_containment, text_lines_context, stratified_cap, top_kinds, slug_ids, sentence_count, url_keys, mined_facts,
     )
 }
 
@@ -323,4 +330,7 @@ ORACLE = {
     "top_kinds": "select kind, count(*) as n from source_record group by kind order by n desc, kind limit 8",
     "slug_ids": f"select id, {_SLUG.format('name')} as slug, {_FOLD.format('name')} as folded, {_NORM.format('name')} as normal from tower",
     "url_keys": "select record_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://(www\\.)?', ''), '[?#].*$', ''), '/+$', '') as url_key from source_record where url is not null",
+    "mined_facts": """select doc_id, regexp_extract_all(text, '(?i)\\b(?:built|rebuilt|begun|erected)\\b[^.0-9]{0,40}\\b(1[89]\\d\\d|20[0-2]\\d)\\b', 1)[-1]::int as built,
+ nullif(replace(regexp_extract(text, '(?i)\\b(\\d{1,3}(?:,\\d{3})+|\\d+) ?(?:feet|ft)\\b', 1), ',', ''), '')::int as feet,
+ len(list_distinct(regexp_extract_all(text, '(?m)^\\[\\^\\d+\\]:.*?(https?://\\S+)', 1)))::int as urls from documents where text is not null""",
 }
