@@ -88,15 +88,15 @@ def horizon_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panoramas(spark: SparkSession, sf: str) -> DataFrame:
-    """G-17 over the invented landscape."""
+    """G-17 over the invented landscape: 360 columns, up to 60 km."""
     o = _towers(spark, sf).withColumn("above_ground_m", F.lit(10.0))
-    return sight.panoramas(o, sight.Surface(_hills), columns=36, most=15_000.0)
+    return sight.panoramas(o, sight.Surface(_hills), columns=360, most=60_000.0)
 
 
 def sight_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    """G-18, A-18 over the invented landscape: cells and how many towers see them."""
+    """G-18, A-18 over the invented landscape: cells of 75 m and how many towers see them from up to 40 km, as the reference's layer does by default."""
     o = _towers(spark, sf).withColumn("above_ground_m", F.lit(10.0))
-    return sight.overlay(o, sight.Surface(_hills), most=3000.0, cell_m=250.0).select("ix", "iy", "seen_by")
+    return sight.overlay(o, sight.Surface(_hills), most=40_000.0, cell_m=75.0).select("ix", "iy", "seen_by")
 
 
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 
 EARTH_M, REFRACTION = 6_371_008.8, 0.13
 NO_DATA = 65535
+#: Rays whose samples are made at once.
+RAYS = 8
 
 
 class HeightField(Protocol):
@@ -85,9 +87,9 @@ def terrarium(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def destination(lat: float, lon: float, azimuth: np.ndarray, metres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, d, b = math.radians(lat), metres / EARTH_M, np.radians(azimuth)
-    y = np.arcsin(np.clip(np.sin(a) * np.cos(d) + np.cos(a) * np.sin(d) * np.cos(b), -1, 1))
-    x = math.radians(lon) + np.arctan2(np.sin(b) * np.sin(d) * np.cos(a), np.cos(d) - np.sin(a) * np.sin(y))
-    return np.degrees(y), (np.degrees(x) + 180) % 360 - 180
+    sin_y = np.clip(np.sin(a) * np.cos(d) + np.cos(a) * np.sin(d) * np.cos(b), -1, 1)
+    x = lon + np.degrees(np.arctan2(np.sin(b) * np.sin(d) * np.cos(a), np.cos(d) - np.sin(a) * sin_y))
+    return np.degrees(np.arcsin(sin_y)), x - 360 * np.floor((x + 180) / 360)
 
 
 def steps(most: float, least: float = 10.0, share: float = 0.003) -> np.ndarray:
@@ -121,15 +123,22 @@ def locate(field: HeightField, lat: float, lon: float, snap: float) -> tuple[flo
     return best
 
 
+def _horizons(field: HeightField, lat: float, lon: float, eye: float, az: np.ndarray, d: np.ndarray, k: float) -> np.ndarray:
+    """The steepest slope up to each distance of each ray; a few rays at a time, so that their samples stay in the processor's cache."""
+    out = np.empty((len(az), len(d)))
+    for r in range(0, len(az), RAYS):
+        y, x = destination(lat, lon, az[r : r + RAYS, None], d[None, :])
+        s = slope(field.height(y, x), eye, d[None, :], k)
+        np.maximum.accumulate(np.where(np.isnan(s), -np.inf, s), axis=1, out=out[r : r + RAYS])
+    return out
+
+
 def panorama(field: HeightField, lat: float, lon: float, above: float = 2.0, columns: int = 360, most: float = 60_000.0, layers: tuple[float, ...] = (1000.0, 4000.0, 15_000.0), k: float = REFRACTION, snap: float = 0.0) -> pd.DataFrame:
     """(az, layer, horizon_deg, crest_m): the horizon up to the end of each layer, and the crest's distance if it lies in it."""
     lat, lon, ground = locate(field, lat, lon, snap)
     d = steps(most)
     az = np.arange(columns) * 360.0 / columns
-    y, x = destination(lat, lon, az[:, None], d[None, :])
-    s = slope(field.height(y, x), ground + above, d[None, :], k)
-    s = np.where(np.isnan(s), -np.inf, s)
-    run = np.maximum.accumulate(s, axis=1)
+    run = _horizons(field, lat, lon, ground + above, az, d, k)
     new = np.concatenate((np.ones((columns, 1), bool), run[:, 1:] > run[:, :-1]), axis=1)
     at = np.maximum.accumulate(np.where(new, np.arange(len(d))[None, :], 0), axis=1)  # where the maximum so far was first reached
     out, low = [], 0.0
@@ -143,15 +152,19 @@ def panorama(field: HeightField, lat: float, lon: float, above: float = 2.0, col
     return pd.concat(out, ignore_index=True)
 
 
-def viewshed(field: HeightField, lat: float, lon: float, above: float = 2.0, most: float = 15_000.0, cell_m: float = 250.0, target: float = 0.0, k: float = REFRACTION) -> pd.DataFrame:
-    """(ix, iy, cell_m2): cells of the Mercator grid that the observer sees. Rays are as dense as the outermost cells; a cell is compared
+def viewshed(
+    field: HeightField, lat: float, lon: float, above: float = 2.0, most: float = 15_000.0, cell_m: float = 250.0, target: float = 0.0, k: float = REFRACTION, grid_lat: float | None = None
+) -> pd.DataFrame:
+    """(ix, iy, cell_m2): cells of the Mercator grid that the observer sees. A cell measures `cell_m` at `grid_lat`, by default the
+    observer's own; viewsheds of one grid_lat share their cells. Rays are as dense as the outermost cells; a cell is compared
     with the horizons of its two neighbouring rays, blended by azimuth."""
     size = 2 * math.pi * EARTH_M
-    scale = math.cos(math.radians(lat))
-    n = int(size * scale / cell_m)
+    n = int(size * math.cos(math.radians(lat if grid_lat is None else grid_lat)) / cell_m)
     unit = 1.0 / n
+    cell_m = size * unit * math.cos(math.radians(lat))  # on the observer's ground
     cx, cy = (lon + 180) / 360, 0.5 - math.atanh(math.sin(math.radians(lat))) / (2 * math.pi)
-    half = int(most / cell_m) + 1
+    poleward = math.cos(math.radians(min(abs(lat) + math.degrees(most / EARTH_M), 85.0)))  # cells are smallest there
+    half = int(most / (size * unit * poleward)) + 2
     ix, iy = np.meshgrid(np.arange(int(cx / unit) - half, int(cx / unit) + half + 1), np.arange(int(cy / unit) - half, int(cy / unit) + half + 1))
     ix, iy = ix.ravel(), iy.ravel()
     lo, la = (ix + 0.5) * unit * 360 - 180, np.degrees(np.arctan(np.sinh(math.pi * (1 - 2 * (iy + 0.5) * unit))))
@@ -164,9 +177,7 @@ def viewshed(field: HeightField, lat: float, lon: float, above: float = 2.0, mos
     eye = float(field.height(np.array([lat]), np.array([lon]))[0]) + above
     rays = max(360, int(2 * math.pi * most / cell_m))
     d = np.arange(1, int(most / (cell_m / 2)) + 1) * cell_m / 2
-    y, x = destination(lat, lon, (np.arange(rays) * 360.0 / rays)[:, None], d[None, :])
-    s = slope(field.height(y, x), eye, d[None, :], k)
-    run = np.maximum.accumulate(np.where(np.isnan(s), -np.inf, s), axis=1)
+    run = _horizons(field, lat, lon, eye, np.arange(rays) * 360.0 / rays, d, k)
     before = np.concatenate((np.full((rays, 1), -np.inf), run), axis=1)  # the horizon of all samples nearer than the cell
     j = np.searchsorted(d, dist - cell_m / 2)
     pos = az / 360 * rays
@@ -176,7 +187,7 @@ def viewshed(field: HeightField, lat: float, lon: float, above: float = 2.0, mos
     horizon = np.where(np.isinf(hor0) | np.isinf(hor1), np.minimum(hor0, hor1), hor0 * (1 - f) + hor1 * f)
     seen = slope(field.height(la, lo) + target, eye, dist, k) >= horizon
     area = (size * unit * np.cos(np.radians(la))) ** 2
-    return pd.DataFrame({"ix": ix[seen], "iy": iy[seen], "cell_m2": area[seen]})
+    return pd.DataFrame({"ix": ix[seen] % n, "iy": iy[seen], "cell_m2": area[seen]})
 
 
 def sight(field: HeightField, lat: float, lon: float, above: float, targets: pd.DataFrame, k: float = REFRACTION, snap: float = 0.0) -> pd.DataFrame:
@@ -219,9 +230,12 @@ def panoramas(observers: DataFrame, field: HeightField, **options) -> DataFrame:
 
 
 def overlay(observers: DataFrame, field: HeightField, **options) -> DataFrame:
-    """(ix, iy, seen_by, cell_m2): how many observers see each cell of one grid, at most 255. All observers must share the grid's latitude band."""
+    """(ix, iy, seen_by, cell_m2): how many observers see each cell of one grid, at most 255. Its cells measure `cell_m` at the observers' mean latitude, if `grid_lat` doesn't say another."""
     from pyspark.sql import functions as F
 
+    if options.get("grid_lat") is None:
+        options["grid_lat"] = observers.where("lat is not null and lon is not null").agg(F.round(F.avg("lat"), 6)).first()[0]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for o in b.itertuples(index=False):
