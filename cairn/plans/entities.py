@@ -163,12 +163,13 @@ def redirect_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared_points(spark: SparkSession, sf: str) -> DataFrame:
-    """J-11: chains of source records within 250 m of each other, with three distinct names or more."""
+    """J-11: chains of source records within 500 m of each other, with three distinct names or more, the words fire, tower and lookout left out."""
     from cairn.operators.proximity import near_pairs
 
     r = _r(spark, sf)
-    comp = graph.components(near_pairs(r, 250.0), "record_id_a", "record_id_b").withColumnRenamed("node", "record_id")
-    named = comp.join(r.select("record_id", T.fold(F.col("name")).alias("k")), "record_id")
+    comp = graph.components(near_pairs(r, 500.0), "record_id_a", "record_id_b").withColumnRenamed("node", "record_id")
+    core = F.trim(F.regexp_replace(F.regexp_replace(T.fold(F.col("name")), r"\b(fire|tower|lookout)\b", ""), r"\s+", " "))
+    named = comp.join(r.select("record_id", core.alias("k")), "record_id")
     return named.groupBy("component").agg(F.count_distinct("k").alias("names"), F.count(F.lit(1)).alias("records")).where("names >= 3")
 
 

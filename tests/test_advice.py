@@ -1,6 +1,6 @@
 """Places where a query once did less than its whole job."""
 
-from cairn.plans import kernels
+from cairn.plans import entities, kernels
 from cairn.terrain import sight
 
 HILLS = sight.Surface(kernels._hills)
@@ -34,3 +34,12 @@ def test_viewshed_reaches_its_edge_on_all_sides():
     flat = sight.Surface(lambda a, o: 0.0 * a)
     v = sight.viewshed(flat, 60.0, 10.0, above=2000.0, most=40_000.0, cell_m=250.0, grid_lat=45.0)
     assert abs(v["cell_m2"].sum() / (3.14159265 * 40_000.0**2) - 1) < 0.001
+
+
+def test_shared_points_chain_at_500_m_and_count_own_names(spark, tmp_path):
+    step = 400 / 111_195  # degrees of latitude
+    rows = [(i, n, 45.0 + i * step, -116.0) for i, n in enumerate(["Lindsay Lookout", "Tweed Fire Tower", "Pembroke"])]
+    rows += [(10 + i, n, 50.0 + i * step / 4, -116.0) for i, n in enumerate(["Rye Lookout", "Rye Fire Tower", "rye", "Kitty  Lake", None])]
+    rows += [(20 + i, n, 55.0 + i * step * 1.5, -116.0) for i, n in enumerate(["A", "B", "C"])]  # 600 m apart
+    spark.createDataFrame(rows, "record_id long, name string, lat double, lon double").write.parquet(f"{tmp_path}/source_record.parquet")
+    assert [tuple(r) for r in entities.shared_points(spark, str(tmp_path)).collect()] == [(0, 3, 3)]
