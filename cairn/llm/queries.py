@@ -132,17 +132,18 @@ QUERIES: dict[str, Query] = {
     "p10_pieces": p10_pieces,
 }
 
-_BEST = """select rec_key as grp, '{f}' as field, first(record_id order by coalesce(trust, 0) desc, retrieved_at desc nulls last, record_id) as row_id
- from source_record left join feed_trust using (feed) where rec_key is not null and {u} group by rec_key having count(*) >= 2"""
+# Groups of two or more rows; of each, the best row among those with a usable value.
+_BEST = """select {g} as grp, '{f}' as field, first({id} order by {o}, {id}) as row_id from {t} join (select {g} from {t} where {g} is not null group by {g} having count(*) >= 2) using ({g}) {j} where {u} group by {g}"""
+_RECORDS = {"g": "rec_key", "id": "record_id", "t": "source_record", "o": "coalesce(trust, 0) desc, retrieved_at desc nulls last", "j": "left join feed_trust using (feed)"}
+_FEATURES = {"g": "i", "id": "feature_id", "t": "map_feature", "o": "list_position(['verified', 'researched', 'facts', 'unverified'], v), built_at desc nulls last", "j": ""}
 
 ORACLE: dict[str, str] = {
     "p6_found": " union all ".join(
         [
-            _BEST.format(f="status", u="trim(status) not in ('', 'unknown')"),
-            _BEST.format(f="built", u="built between 1850 and 2026"),
-            _BEST.format(f="elevation_m", u="elevation_m > 0 and elevation_m <= 20000"),
-            """select i as grp, 'v' as field, first(feature_id order by case v when 'verified' then 4 when 'researched' then 3 when 'facts' then 2 else 1 end desc, built_at desc nulls last, feature_id) as row_id
- from map_feature where i is not null and v in ('verified', 'researched', 'facts', 'unverified') group by i having count(*) >= 2""",
+            _BEST.format(f="status", u="trim(status) not in ('', 'unknown')", **_RECORDS),
+            _BEST.format(f="built", u="built between 1850 and 2026", **_RECORDS),
+            _BEST.format(f="elevation_m", u="elevation_m > 0 and elevation_m <= 20000", **_RECORDS),
+            _BEST.format(f="v", u="v in ('verified', 'researched', 'facts', 'unverified')", **_FEATURES),
         ]
     ),
     "p8_round_trip": "select doc_id, coalesce(text, '') as text from documents",

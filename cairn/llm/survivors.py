@@ -17,21 +17,18 @@ MOST_FEEDS = 1000
 
 
 def survivors(rows: DataFrame, group: str, row_id: str, usable: Mapping[str, Column], order: list[Column]) -> DataFrame:
-    """(grp, field, row_id): of each group and field with two or more usable rows, the row that survives.
+    """(grp, field, row_id): of each group of two or more rows and each field with a usable value, the row that survives.
 
-    usable: per field, whether a row's value may survive. order: Columns, greatest first, nulls last; then the smallest id.
-    Rows of a null group have no group. All fields are one aggregation that combines before the shuffle, so a group of any
-    size is no burden. Repeated ids count as rows of their own.
+    usable: per field, whether a row's value may survive; a group's rows count whether usable or not. order: Columns, greatest
+    first, nulls last; then the smallest id. Rows of a null group have no group. All fields are one aggregation that combines
+    before the shuffle, so a group of any size is no burden. Repeated ids count as rows of their own.
     """
     best = F.struct(*[F.coalesce(c, F.lit(None)).alias(f"o{i}") for i, c in enumerate(order)], (-F.col(row_id)).alias("id"))
     fields = list(usable)
     flags = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), best.alias("_best"), *[F.coalesce(usable[f], F.lit(False)).alias(f"_u{i}") for i, f in enumerate(fields)])
-    aggs = []
-    for i in range(len(fields)):
-        aggs += [F.count_if(F.col(f"_u{i}")).alias(f"_n{i}"), F.max(F.when(F.col(f"_u{i}"), F.col("_best"))).alias(f"_b{i}")]
-    got = flags.groupBy("grp").agg(*aggs)
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("n"), (-F.col(f"_b{i}.id")).alias("row_id")) for i, f in enumerate(fields)])
-    return got.select("grp", F.inline(each)).where("n >= 2").select("grp", "field", "row_id")
+    got = flags.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col(f"_u{i}"), F.col("_best"))).alias(f"_b{i}") for i in range(len(fields))]).where("_n >= 2")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), (-F.col(f"_b{i}.id")).alias("row_id")) for i, f in enumerate(fields)])
+    return got.select("grp", F.inline(each)).where("row_id is not null")
 
 
 def _logit(p: float) -> float:
