@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session for tests and benches: UTC, AQE, few shuffle partitions."""
+    """A session of one process for tests and benches: UTC, AQE, few shuffle partitions, checkpoints in the machine's own folder."""
     b = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -18,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"{tempfile.gettempdir()}/cairn-checkpoints")
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -29,17 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and read it back: lineage ends, and a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's checkpoints, which every node can reach: the one set, or named in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is set (tests) a local one is made.
+    With neither, a session whose executors run in the driver's process gets a folder beneath its warehouse; on a cluster
+    there is no folder of one machine that the others could read, so it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the reliable checkpoint folder and read it back: lineage ends, and a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like cut, as a compressed table of columns: for what is read more than once, each time in part."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def plain(frame: pd.DataFrame, text: Sequence[str] = ()) -> pd.DataFrame:
     """Text as objects with None: an Arrow string of several chunks, or a text column of nothing but NaN, can't be sent back."""
     out = frame.copy()
