@@ -2,7 +2,7 @@
 
 The vocabulary's ranks are one literal: an array of small maps, reached by a checksum, so a look-up costs the same whatever
 the vocabulary's size. The distinct words of the corpus are folded once each: a higher-order aggregate merges, step by step,
-the neighbouring pieces of least rank. The texts then meet the dictionary, bucket by bucket. Decoding concatenates the
+the neighbouring pieces of least rank. The texts then meet the dictionary, chunk by chunk. Decoding concatenates the
 pieces' bytes.
 
 Pieces of bytes are written as strings of the characters U+0000 to U+00FF, one for each byte.
@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import cut
+from cairn.session import written
 
 TOKENIZERS = "/opt/tokenizers"
 BUCKETS = 16384
 #: Words of more bytes are merged with a heap in Python: the fold takes time by the square of the length.
 LONG = 1500
-BUCKET_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 
 #: White space as Unicode has it, and the pattern that cuts a text into words.
 _S = r"\u0009-\u000d \u0085   -     　"
@@ -103,6 +103,98 @@ class TextEncoder:
         return sum(map(len, self.lists(text))) if text else 0
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from 0) and values of a column of lists of numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    at = column.offsets.to_numpy().astype(np.int64)
+    return at - at[0], column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+
+
+def _chunks(ranks: dict[bytes, int], chunk_chars: int, most: int = 300_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches(_key, _text): for each text the numbers of its words in its chunk, and for each chunk its distinct words.
+
+    A chunk's number is made of the partition's and its place there, so that a task run again gives the same rows. The words
+    of up to `most` parts are remembered from chunk to chunk.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        words_of: dict[str, list[str]] = {}
+        keys: list[pa.Array] = []
+        state = _Chunk()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n, words = len(state.counts), list(state.word)
+            key = pa.concat_arrays(keys)
+            none = lambda size, kind: pa.nulls(size, kind)
+            ints, text = pa.list_(pa.int32()), pa.string()
+            names = ["_chunk", "_key", "nums", "word", "no", "ids"]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), key, state.numbers(), none(n, text), none(n, pa.int32()), none(n, ints)], names)
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                m = len(part)
+                long = pa.array([heap_merge(w.encode(), ranks) if len(w) > LONG // 4 else None for w in part], ints)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), none(m, key.type), none(m, ints), pa.array(part, text), pa.array(range(at, at + m), pa.int32()), long], names)
+
+        for b in batches:
+            fresh = 0
+            for i, t in enumerate(b.column("_text").to_pylist()):
+                parts = parts_of(t) if t else []
+                new = [p for p in dict.fromkeys(parts) if p not in state.part]
+                for p in new:
+                    found = words_of.get(p)
+                    if found is None:
+                        if len(words_of) >= most:
+                            words_of.clear()
+                        found = words_of[p] = _WORDS.findall(whole_part(p))
+                    state.add(p, found)
+                state.counts.append(len(parts))
+                state.every.extend(map(state.part.__getitem__, parts))
+                state.held += len(t)
+                if state.held >= chunk_chars:
+                    keys.append(b.column("_key").slice(fresh, i + 1 - fresh))
+                    fresh = i + 1
+                    yield from flush()
+                    chunk, state = chunk + 1, _Chunk()
+                    keys.clear()
+            if fresh < b.num_rows:
+                keys.append(b.column("_key").slice(fresh))
+        if state.counts:
+            yield from flush()
+
+    return run
+
+
+class _Chunk:
+    """Texts of one chunk, by the numbers of their parts, and parts by the numbers of their words."""
+
+    def __init__(self) -> None:
+        self.word: dict[str, int] = {}
+        self.part: dict[str, int] = {}
+        self.pool, self.starts = array("i"), array("q", [0])
+        self.counts, self.every = [], array("i")
+        self.held = 0
+
+    def add(self, part: str, words: list[str]) -> None:
+        self.part[part] = len(self.part)
+        self.pool.extend(self.word.setdefault(w, len(self.word)) for w in words)
+        self.starts.append(len(self.pool))
+
+    def numbers(self) -> pa.Array:
+        """The numbers of each text's words."""
+        part, pool, start = (np.array(x) for x in (self.every, self.pool, self.starts))
+        if not len(part):
+            return pa.array([[]] * len(self.counts), pa.list_(pa.int32()))
+        size = np.diff(start)[part]
+        ends = np.cumsum(size)
+        got = pool[np.arange(ends[-1]) + np.repeat(start[part] - (ends - size), size)]
+        last = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(self.counts)))]
+        return pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(got.astype(np.int32)))
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary."""
 
@@ -164,76 +256,41 @@ class Bpe:
         """words(word) with `ids`."""
         return words.select("word", self.fold(self.as_bytes(F.col("word"))).alias("ids"))
 
-    def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    def encode(self, docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
         """(key, ids): ids of each text without special tokens, whose strings are ordinary text. Null and empty texts give [].
 
-        Whole texts are encoded; repeated rows come out repeated, other columns are ignored. Texts are dealt into buckets of
-        about bucket_chars bytes, each bucket's distinct words are gathered, and the words, made distinct over the corpus, are
-        folded once each; then every bucket meets its part of the dictionary. So no task holds more than a bucket and its
-        words, and a word that a third of the texts hold is one row of each bucket.
+        Whole texts are encoded; repeated rows come out repeated, other columns are ignored. Texts are read once: where they
+        are read, chunks of about chunk_chars characters become lists of the numbers of their words, beside each chunk's
+        distinct words. The words, made distinct over the corpus, are folded once each; then every chunk meets the ids of its
+        words, and numbers become ids. So no task holds more than a chunk at a time, texts are never shuffled, and a word
+        that a third of the texts hold is one row of each chunk. A word without ids ends the job with an error.
         """
         docs = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
-        size = docs.agg(F.sum(F.octet_length("_text").cast("bigint")).alias("n")).first()["n"] or 0
-        buckets = max(1, -(-size // bucket_chars))
-        dealt = docs.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_text"), F.lit(buckets)).cast("int"))
-        ranks = self.ranks
-
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[int, set[str]] = {}
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                for n, s in seen.items():
-                    got = [w for w in set(chain.from_iterable(map(_WORDS.findall, map(whole_part, s)))) if len(w) <= LONG // 4]
-                    for at in range(0, len(got), 50_000):
-                        part = got[at : at + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(part, pa.string())], ["_bucket", "word"])
-                seen.clear()
-
-            held = 0
-            for b in batches:
-                for n, t in zip(b.column("_bucket").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                    if n not in seen:
-                        seen[n] = set()
-                    seen[n].update(parts_of(t))
-                    held += len(t)
-                if held > 8 * bucket_chars:  # parts of several buckets' texts at most
-                    yield from flush()
-                    held = 0
-            yield from flush()
-
-        pairs = cut(dealt.select("_bucket", "_text").mapInArrow(gather, "_bucket int, word string").distinct())
-        dictionary = pairs.join(self.fold_words(pairs.select("word").distinct()), "word")
+        ranks, kind = self.ranks, docs.schema["_key"].dataType
+        seen = written(docs.mapInArrow(_chunks(ranks, chunk_chars), f"_chunk bigint, _key {kind.simpleString()}, nums array<int>, word string, no int, ids array<int>"))
+        words = seen.where("no is not null")
+        plain = words.where("ids is null").select("_chunk", "no", "word")
+        folded = plain.join(self.fold_words(plain.select("word").distinct()), "word", "left").select("_chunk", "no", "ids")
+        chunks = max(1, seen.select("_chunk").distinct().count())
+        entries = folded.union(words.where("ids is not null").select("_chunk", "no", "ids")).repartition(chunks, "_chunk")
+        texts = seen.where("no is null").select(F.col("_chunk").alias("_chunk"), "_key", "nums").repartition(chunks, "_chunk")
 
         def apply(texts: pa.Table, entries: pa.Table) -> pa.Table:
-            ids = entries.column("ids").combine_chunks()
-            offsets, flat = ids.offsets.to_pylist(), ids.values.to_pylist()
-            known = {w: flat[i:j] for w, i, j in zip(entries.column("word").to_pylist(), offsets[:-1], offsets[1:], strict=True)}
-            number: dict[str, int] = {}
-            pool, starts = array("i"), array("q", [0])
-            counts, every = [], array("i")
-            for t in texts.column("_text").to_pylist():
-                parts = parts_of(t)
-                for p in set(parts).difference(number):
-                    number[p] = len(starts) - 1
-                    for w in _WORDS.findall(whole_part(p)):
-                        got = known.get(w)
-                        pool.extend(heap_merge(w.encode(), ranks) if got is None else got)
-                    starts.append(len(pool))
-                counts.append(len(parts))
-                every.extend(map(number.__getitem__, parts))
-            # the ids of all parts, one behind the other: each part's run is read from the pool
-            start = np.frombuffer(starts, np.int64)
-            part = np.frombuffer(every, np.int32) if len(every) else np.zeros(0, np.int32)
-            size = np.diff(start)[part] if len(part) else np.zeros(0, np.int64)
+            no = entries.column("no").to_numpy()
+            order = np.argsort(no)
+            if entries.column("ids").null_count or not np.array_equal(no[order], np.arange(len(no))):
+                raise ValueError("a word has no ids")
+            start, flat = _lists(entries.column("ids").combine_chunks().take(pa.array(order)))
+            edge, number = _lists(texts.column("nums").combine_chunks())
+            # the ids of all words, one behind the other: each word's run is read from flat
+            size = np.diff(start)[number] if len(number) else np.zeros(0, np.int64)
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
-            place = np.arange(total) + np.repeat(start[part] - (ends - size), size) if total else np.zeros(0, np.int64)
-            got = np.frombuffer(pool, np.int32)[place] if total else np.zeros(0, np.int32)
-            last = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.array(counts, dtype=np.int64))))]
-            return pa.table({key: texts.column("_key"), "ids": pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(got))})
+            got = flat[np.arange(total) + np.repeat(start[number] - (ends - size), size)] if total else np.zeros(0, np.int32)
+            last = np.concatenate(([0], ends))[edge]
+            return pa.table({key: texts.column("_key"), "ids": pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(got.astype(np.int32)))})
 
-        kind = docs.schema["_key"].dataType.simpleString()
-        return dealt.groupBy("_bucket").cogroup(dictionary.groupBy("_bucket")).applyInArrow(apply, f"{key} {kind}, ids array<int>")
+        return texts.groupBy("_chunk").cogroup(entries.groupBy("_chunk")).applyInArrow(apply, f"{key} {kind.simpleString()}, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: its pieces' bytes concatenated; null of null."""

@@ -122,7 +122,7 @@ def test_bpe_round_trip_and_reference(spark, ranks):
     texts = [None, "", " ", "  \n\n x\t", "the the cab", "naïve — 日本語のテキスト", "<|endoftext|> a<|endoftext|>", "a" * 4000, "x" * 3 + " " * 50 + "y", "don't we'll \r\n\r\n end  ", "  x 　", "9" * 700, "=" * 286 + " 1,955 ft", "été été", "a\x1cb c", "long\n" * 900]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, _key string")
     b = bpe.Bpe(ranks)
-    got = {r["doc_id"]: (r["ids"], r["text"]) for r in b.encode(df, bucket_chars=2000).withColumn("text", b.decode(F.col("ids"))).collect()}
+    got = {r["doc_id"]: (r["ids"], r["text"]) for r in b.encode(df, chunk_chars=2000).withColumn("text", b.decode(F.col("ids"))).collect()}
     for i, t in enumerate(texts):
         assert got[i][0] == (encoder.encoding.encode_ordinary(t) if t else []), t
         assert got[i][1] == (t or "")
