@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 _WORDS = regex.compile(PATTERN)
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
+#: The same in the other dialect, whose \s is ASCII's alone.
+_SPACE_AFTER_SPACE_RE2 = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _PARTS = re.compile(r"\s+\S*|\S+")
 
 
@@ -114,85 +117,83 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 def _chunks(ranks: dict[bytes, int], chunk_chars: int, most: int = 300_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of batches(_key, _text): for each text the numbers of its words in its chunk, and for each chunk its distinct words.
 
-    A chunk's number is made of the partition's and its place there, so that a task run again gives the same rows. The words
-    of up to `most` parts are remembered from chunk to chunk.
+    The words of up to `most` parts are remembered from chunk to chunk.
     """
+    ints, names = pa.list_(pa.int32()), ["_chunk", "_key", "nums", "word", "no", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
         words_of: dict[str, list[str]] = {}
+        texts: list[pa.Array] = []
         keys: list[pa.Array] = []
-        state = _Chunk()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            n, words = len(state.counts), list(state.word)
-            key = pa.concat_arrays(keys)
-            none = lambda size, kind: pa.nulls(size, kind)
-            ints, text = pa.list_(pa.int32()), pa.string()
-            names = ["_chunk", "_key", "nums", "word", "no", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), key, state.numbers(), none(n, text), none(n, pa.int32()), none(n, ints)], names)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
+        held = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            key, wholes, counts, every, used = _parts_of_all(pa.concat_arrays(texts), pa.concat_arrays(keys))
+            if len(words_of) + len(wholes) > most:
+                words_of.clear()
+            for p in wholes:
+                if p not in words_of:
+                    words_of[p] = _WORDS.findall(p)
+            found = [words_of[p] if u else [] for p, u in zip(wholes, used, strict=True)]
+            word = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+            pool, start = word.indices.to_numpy(), np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+            size = np.diff(start)[every]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            got = pool[np.arange(ends[-1]) + np.repeat(start[every] - ends[:-1], size)] if ends[-1] else np.zeros(0, np.int32)
+            last = ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+            n = len(key)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), key, pa.ListArray.from_arrays(pa.array(last), pa.array(got)), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, ints)], names)
+            for at in range(0, len(word.dictionary), 50_000):
+                part = word.dictionary.slice(at, 50_000)
                 m = len(part)
-                long = pa.array([heap_merge(w.encode(), ranks) if len(w) > LONG // 4 else None for w in part], ints)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), none(m, key.type), none(m, ints), pa.array(part, text), pa.array(range(at, at + m), pa.int32()), long], names)
+                long = [None] * m
+                for i in np.flatnonzero(pc.utf8_length(part).to_numpy() > LONG // 4):
+                    long[i] = heap_merge(part[int(i)].as_py().encode(), ranks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, key.type), pa.nulls(m, ints), part, pa.array(range(at, at + m), pa.int32()), pa.array(long, ints)], names)
 
         for b in batches:
-            fresh = 0
-            for i, t in enumerate(b.column("_text").to_pylist()):
-                parts = parts_of(t) if t else []
-                new = [p for p in dict.fromkeys(parts) if p not in state.part]
-                for p in new:
-                    found = words_of.get(p)
-                    if found is None:
-                        if len(words_of) >= most:
-                            words_of.clear()
-                        found = words_of[p] = _WORDS.findall(whole_part(p))
-                    state.add(p, found)
-                state.counts.append(len(parts))
-                state.every.extend(map(state.part.__getitem__, parts))
-                state.held += len(t)
-                if state.held >= chunk_chars:
-                    keys.append(b.column("_key").slice(fresh, i + 1 - fresh))
-                    fresh = i + 1
-                    yield from flush()
-                    chunk, state = chunk + 1, _Chunk()
-                    keys.clear()
-            if fresh < b.num_rows:
-                keys.append(b.column("_key").slice(fresh))
-        if state.counts:
-            yield from flush()
+            text, key = b.column("_text"), b.column("_key")
+            sizes = np.concatenate(([0], np.cumsum(pc.binary_length(text).to_numpy().astype(np.int64))))
+            at = 0
+            while at < len(text):
+                end = min(len(text), max(at + 1, int(np.searchsorted(sizes, sizes[at] + chunk_chars - held))))
+                texts.append(text.slice(at, end - at))
+                keys.append(key.slice(at, end - at))
+                held += int(sizes[end] - sizes[at])
+                at = end
+                if held >= chunk_chars:
+                    yield from emit()
+                    chunk, held = chunk + 1, 0
+                    texts.clear(), keys.clear()
+        if texts:
+            yield from emit()
 
     return run
 
 
-class _Chunk:
-    """Texts of one chunk, by the numbers of their parts, and parts by the numbers of their words."""
-
-    def __init__(self) -> None:
-        self.word: dict[str, int] = {}
-        self.part: dict[str, int] = {}
-        self.pool, self.starts = array("i"), array("q", [0])
-        self.counts, self.every = [], array("i")
-        self.held = 0
-
-    def add(self, part: str, words: list[str]) -> None:
-        self.part[part] = len(self.part)
-        self.pool.extend(self.word.setdefault(w, len(self.word)) for w in words)
-        self.starts.append(len(self.pool))
-
-    def numbers(self) -> pa.Array:
-        """The numbers of each text's words."""
-        part, pool, start = (np.array(x) for x in (self.every, self.pool, self.starts))
-        if not len(part):
-            return pa.array([[]] * len(self.counts), pa.list_(pa.int32()))
-        size = np.diff(start)[part]
-        ends = np.cumsum(size)
-        got = pool[np.arange(ends[-1]) + np.repeat(start[part] - (ends - size), size)]
-        last = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(self.counts)))]
-        return pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(got.astype(np.int32)))
+def _parts_of_all(text: pa.Array, key: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """parts_of, for a column of texts at once: keys in the order taken, what each distinct part stands for, how many parts
+    each text has, all texts' parts by number, and which distinct parts are used at all."""
+    wide = pc.match_substring_regex(text, _SPACE_AFTER_SPACE_RE2)
+    split = pc.split_pattern(text.filter(pc.invert(wide)), " ")
+    edge, flat = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+    spaced, number = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+    first = (edge[:-1] - edge[0]).astype(np.int64)  # every text's first part has no space before it
+    bare = flat.take(pa.array(first)).cast(pa.string()).dictionary_encode() if len(first) else None
+    wholes = [" " + p for p in spaced]
+    if bare is not None:
+        number[first] = len(wholes) + bare.indices.to_numpy()
+        wholes += bare.dictionary.to_pylist()
+    others = list(map(_PARTS.findall, text.filter(wide).to_pylist()))
+    rest = pa.array(list(chain.from_iterable(others)), pa.string()).dictionary_encode()
+    every = np.concatenate((number, len(wholes) + rest.indices.to_numpy().astype(np.int64)))
+    wholes += rest.dictionary.to_pylist()
+    counts = np.concatenate((np.diff(edge), np.fromiter(map(len, others), np.int64, len(others)))).astype(np.int64)
+    keys = pa.concat_arrays([key.filter(pc.invert(wide)), key.filter(wide)])
+    return keys, wholes, counts, every, np.bincount(every, minlength=len(wholes)) > 0
 
 
 class Bpe:
