@@ -46,7 +46,7 @@ def p7_confidence(spark: SparkSession, sf: str) -> DataFrame:
 def p7_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
     """One record key for each tower and one tower for each key, of highest total confidence."""
     records, towers = matching.record_profiles(table(spark, sf, "source_record")), matching.tower_profiles(table(spark, sf, "tower"))
-    return matching.one_to_one(matching.candidates(records, towers)).select("record", F.col("entity").alias("tower_id"), F.round("confidence", 6).alias("confidence"))
+    return matching.one_to_one(matching.candidates(records, towers).where("not alike")).select("record", F.col("entity").alias("tower_id"), F.round("confidence", 6).alias("confidence"))
 
 
 V_RANK = {"verified": 4, "researched": 3, "facts": 2, "unverified": 1}

@@ -91,20 +91,44 @@ def test_survivors_and_truth(spark):
 
 
 def test_matching_and_assignment(spark):
-    for seed in range(5):
-        rng = np.random.default_rng(seed)
-        w = rng.random((5, 4)).round(2)
-        from itertools import permutations
+    from itertools import permutations
 
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        w = rng.integers(0, 8, (5, 4)) / 8  # with ties, and with pairs that are none
         best = max(sum(w[r, c] for c, r in enumerate(p)) for p in permutations(range(5), 4))
-        assert sum(w[i, j] for i, j in matching.assign(w)) == pytest.approx(best)
+        got = matching.assign([[(j, float(w[i, j])) for j in range(4) if w[i, j] > 0] for i in range(5)])
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+        assert sum(w[i, j] for i, j in got) == pytest.approx(best)
+    assert matching.assign([]) == [] and matching.assign([[]]) == []
     p = spark.createDataFrame([("r1", "e1", 0.9), ("r1", "e2", 0.8), ("r2", "e1", 0.85), ("r3", "e3", 0.7), ("r3", "e3", 0.7)], "record string, entity string, confidence double")
     assert {tuple(r)[:2] for r in matching.one_to_one(p).collect()} == {("r1", "e2"), ("r2", "e1"), ("r3", "e3")}
-    old, matching.EXACT = matching.EXACT, 0
-    try:
-        assert {tuple(r)[:2] for r in matching.one_to_one(p).collect()} == {("r1", "e1"), ("r3", "e3")}
-    finally:
-        matching.EXACT = old
+    assert matching.one_to_one(p.limit(0)).count() == 0
+    # one component of 500 records and entities, beyond what used to be solved exactly: a chain that only fits one way
+    chain = [(f"r{i:04d}", f"e{i:04d}", 0.6) for i in range(500)] + [(f"r{i:04d}", f"e{i + 1:04d}", 0.6001) for i in range(499)]
+    got = matching.one_to_one(spark.createDataFrame(chain, "record string, entity string, confidence double"))
+    assert got.agg(F.sum("confidence"), F.countDistinct("record"), F.countDistinct("entity")).first()[1:] == (500, 500)
+
+
+def test_classes_take_one_tower_each(spark):
+    rec = "record_id bigint, rec_key string, name string, region string, county string, lat double, lon double"
+    tow = "id string, name string, other_names array<string>, region string, county string, location struct<lat:double,lon:double>"
+    r = spark.createDataFrame([(1, "a:1", "Babeckund Butte", "MA", "X", 47.0, -109.0), (2, "b:1", "Babekund Butte", "MA", "X", 47.001, -109.0), (3, "c:1", "Babeckund Butte", "MA", None, None, None), (4, "d:1", None, "MA", None, 47.3, -109.0), (5, "e:1", "Zoot Hill", None, None, 47.0, -109.0)], rec)
+    t = spark.createDataFrame([("t1", "Babeckund Butte", None, "MA", "X", (47.0, -109.0)), ("t2", "Torpish Hill", None, "MA", "X", (47.301, -109.0))], tow)
+    assert {tuple(x)[:2] for x in matching.match_records(r, t).collect()} == {(1, "t1"), (2, "t1"), (3, "t1"), (4, "t2")}
+    # more records of one name than a window holds all meet their tower
+    many = spark.range(60).selectExpr("id as record_id", "concat('k:', id) as rec_key", "'Babeckund Butte' as name", "'MA' as region", "'X' as county", "cast(null as double) as lat", "cast(null as double) as lon")
+    assert matching.match_records(many, t).where("tower_id = 't1'").count() == 60
+
+
+def test_batched_edits():
+    from cairn.llm.edits import Words
+
+    rng = random.Random(3)
+    w = ["".join(rng.choice("abcé") for _ in range(rng.randint(0, 8))) for _ in range(80)] + ["x" * 60, "x" * 61]
+    i, j = (np.repeat(np.arange(82), 82), np.tile(np.arange(82), 82))
+    got = Words(w).transposing(i, j, 3)
+    assert got.tolist() == [min(transposing(w[a], w[b]), 4) for a, b in zip(i, j)]
 
 
 def test_windows_reach_over_partitions(spark, sf):
