@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from cairn.llm.edits import transposing
 
@@ -30,11 +30,13 @@ _LONG = [*KINDS, *QUALIFIERS, *BYNAMES, "lookout", "tower"]
 
 @dataclass(frozen=True)
 class Name:
-    """core: the lookout's own word, "" if there is none. kind: of the place, a by-name's word, or "". qualifiers: in order."""
+    """core: the lookout's own words as one, "" if there are none. kind: of the place, a by-name's word, or "". qualifiers: in
+    order. own: its own words as typed; names whose words run together differently are equal."""
 
     core: str
     kind: str
     qualifiers: tuple[str, ...]
+    own: tuple[str, ...] = field(default=(), compare=False)
 
 
 def fold(text: str) -> str:
@@ -81,7 +83,7 @@ def parse(text: str | None) -> Name:
     core = "".join(own)
     if byname in ("nest",) and "old" in qualifiers:
         qualifiers.remove("old")
-    return Name(core, byname or (kinds[-1] if kinds else ""), tuple(sorted(set(qualifiers))))
+    return Name(core, byname or (kinds[-1] if kinds else ""), tuple(sorted(set(qualifiers))), tuple(own))
 
 
 def _unjoin(word: str, kinds: list[str]) -> list[str]:
@@ -106,22 +108,33 @@ def deletes(word: str, most: int) -> set[str]:
     return out
 
 
+def bones(word: str) -> str:
+    """First letter and consonants, without repeats: what an abbreviation without vowels keeps."""
+    kept = word[:1] + "".join(c for c in word[1:] if c not in "aeiouy")
+    return "".join(c for i, c in enumerate(kept) if i == 0 or c != kept[i - 1])
+
+
 def slips(word: str) -> int:
     """Most edits by which another spelling of a lookout's own word may differ."""
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
 
+def abbreviates(a: str, b: str) -> bool:
+    """Is one the other's abbreviation: the same first letter, its letters in order in the longer, at least two fewer."""
+    short, long = sorted((a, b), key=len)
+    letters = iter(long)
+    return len(long) - len(short) >= 2 and short[:1] == long[:1] and all(c in letters for c in short)
+
+
 def token_cost(a: str, b: str) -> float:
     """What it costs to read one token as the other: edits, less for an initial or an abbreviation."""
     if a == b:
         return 0.0
     short, long = sorted((a, b), key=len)
-    if short[:1] == long[:1]:
-        if len(short) == 1:
-            return 0.5
-        letters = iter(long)
-        if len(long) - len(short) >= 2 and all(c in letters for c in short):
-            return 0.8
+    if len(short) == 1 and short == long[:1]:
+        return 0.5
+    if abbreviates(a, b):
+        return 0.8
     d = transposing(a, b)
     return float(d) if d <= max(slips(long), 1) else 9.0
 

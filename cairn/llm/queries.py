@@ -35,6 +35,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return variants.spelling_pairs(table(spark, sf, "source_record"), table(spark, sf, "tower"))
 
 
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with its class and its number of links."""
+    return variants.spelling_classes(table(spark, sf, "source_record"), table(spark, sf, "tower"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_confidence(spark, sf).select("record_id", "tower_id")
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p6_found": p6_found,
     "p6_truth": p6_truth,
     "p6_quality": p6_quality,

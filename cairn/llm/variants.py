@@ -1,24 +1,27 @@
 """Spellings of one lookout, linked.
 
-Spellings are parsed into a lookout's own word, kind of place and qualifiers; equal parts are one form. Own words of one
-region meet in a symmetric-delete index: two words that share a string left after deleting letters are candidates. Their
-tokens are aligned by optimal assignment, allowing initials and abbreviations, and place and county decide where the names
-alone don't. Forms that one record, key or tower bears are linked as well; components of all links are the lookouts.
+Spellings are parsed into a lookout's own words, kind of place and qualifiers; equal parts are one form. The own words of one
+region meet in a symmetric-delete index, all of a name's letters as one and each token by itself: two that share a string left
+after deleting letters are candidates. Their tokens are aligned by optimal assignment, in any order, allowing initials and
+abbreviations, and place and county decide where the names alone don't. Forms that one record, key or tower bears are linked as well; components of all links are the lookouts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from cairn.llm.names import BYNAMES, align, deletes, parse, slips
+from cairn.llm.edits import Words
+from cairn.llm.names import BYNAMES, Name, abbreviates, align, bones, deletes, parse, slips
 from cairn.operators.graph import components
 from cairn.operators.proximity import haversine, repaired
 from cairn.operators.units import payload
-from cairn.session import cut
+from cairn.session import plain, written
 
 #: Metres between two forms' places: surely near, and surely far.
 NEAR, FAR = 8_000.0, 30_000.0
@@ -49,51 +52,102 @@ def spellings(records: DataFrame, towers: DataFrame) -> DataFrame:
     return mine.unionByName(theirs).where("region is not null and length(trim(spelling)) > 0")
 
 
-def _parsed(distinct: DataFrame) -> DataFrame:
+def _parsed(seen: DataFrame) -> DataFrame:
+    """Every spelling with its parts and the number of its form; those that could stand for any lookout are left out."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Name] = {}
         for b in batches:
-            p = [parse(s) for s in b["spelling"]]
-            yield b.assign(core=[x.core for x in p], kind=[x.kind for x in p], qualifiers=[" ".join(x.qualifiers) for x in p])
+            for s in set(b["spelling"]).difference(known):
+                known[s] = parse(s)
+            p = [known[s] for s in b["spelling"]]
+            if len(known) > 200_000:
+                known.clear()
+            yield plain(b.assign(core=[x.core for x in p], own=[" ".join(x.own) for x in p], kind=[x.kind for x in p], qualifiers=[" ".join(x.qualifiers) for x in p]))
 
-    return distinct.mapInPandas(run, "region string, spelling string, core string, kind string, qualifiers string").where("core <> ''")
+    columns = "region string, spelling string, bearer string, lat double, lon double, county string, core string, own string, kind string, qualifiers string"
+    return seen.mapInPandas(run, columns).where("core <> ''").withColumn("form", F.xxhash64("region", "core", "kind", "qualifiers"))
 
 
-def _index(cores: DataFrame) -> DataFrame:
-    """(region, key, core) of the symmetric-delete index."""
+#: How two words met: their letters, a token beside another's initial, their consonants.
+BY_LETTERS, BY_TOKEN, BY_BONES = 0, 1, 2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(r, k, c) for r, c in zip(b["region"], b["core"], strict=True) for k in deletes(c, slips(c))]
-            yield pd.DataFrame(rows, columns=["region", "key", "core"])
 
-    return cores.mapInPandas(run, "region string, key string, core string").select(F.xxhash64("region", "key").alias("key"), "region", "core")
+def index_keys(core: str, own: list[str]) -> list[tuple[int, str]]:
+    """(how, key) of the symmetric-delete index for one name.
+
+    Letters deleted from all its own words as one; for a name of several tokens, letters deleted from each token, beside the
+    initial of each other one, in any order; the consonants alone. Distinct words that share a key of letters are few however
+    many rows there are: a word of n letters has fewer than (26 (n + 2))^2 / 2 that come of it by adding two.
+    """
+    keys = [(BY_LETTERS, k) for k in deletes(core, slips(core))]
+    if len(own) > 1:
+        whole = [t for t in own if len(t) > 1]
+        keys += {(BY_TOKEN, f"{k} {u[:1]}") for i, t in enumerate(own) if t in whole for k in deletes(t, min(slips(t), 1)) for j, u in enumerate(own) if j != i}
+    if len(b := bones(core)) > 3:
+        keys.append((BY_BONES, b))
+    return keys
 
 
-def _edits(pairs: DataFrame) -> DataFrame:
-    """pairs(region, a, b) with the cost of their alignment, of those that may be one word."""
+def _index(cores: DataFrame) -> DataFrame:
+    """(key, how, region, core, own) of the symmetric-delete index over (region, core, own)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cost = [align([x], [y]) for x, y in zip(b["a"], b["b"], strict=True)]
-            out = b.assign(cost=cost)
-            yield out[out["cost"] <= 2]
+            rows = [(r, h, k, c, o) for r, c, o in zip(b["region"], b["core"], b["own"], strict=True) for h, k in index_keys(c, o.split())]
+            for at in range(0, len(rows), 100_000):
+                yield pd.DataFrame(rows[at : at + 100_000], columns=["region", "how", "key", "core", "own"])
+
+    got = cores.mapInPandas(run, "region string, how int, key string, core string, own string")
+    return got.select(F.xxhash64("region", "how", "key").alias("key"), "how", "region", "core", "own")
+
+
+def alignments(a: list[str], b: list[str], own_a: list[str], own_b: list[str]) -> np.ndarray:
+    """Cost of reading each name a (as one word, and as tokens) as the name b: the less of the two."""
+    words = Words([*a, *b])
+    i, j = np.arange(len(a)), np.arange(len(a), 2 * len(a))
+    d = words.transposing(i, j, 2)
+    longest = np.maximum(words.lengths[i], words.lengths[j])
+    most = np.where(longest < 6, 1, 2)
+    cost = np.where(d <= most, d.astype(float), 9.0)
+    for k in np.flatnonzero(np.abs(words.lengths[i] - words.lengths[j]) >= 2):
+        if abbreviates(a[k], b[k]):
+            cost[k] = min(cost[k], 0.8)
+    for k, (x, y) in enumerate(zip(own_a, own_b, strict=True)):
+        tokens = x.split(), y.split()
+        if any(len(t) > 1 and min(map(len, t)) == 1 for t in tokens):
+            cost[k] = 9.0  # an initial is a token, not a letter more of its neighbour
+        if cost[k] and all(len(t) > 1 for t in tokens):
+            cost[k] = min(cost[k], align(*tokens))
+    return cost
+
+
+def _aligned(pairs: DataFrame) -> DataFrame:
+    """pairs(region, a, b, own_a, own_b) with the cost of their alignment, of those that may be one name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cost = alignments(*(b[c].tolist() for c in ("a", "b", "own_a", "own_b")))
+            yield plain(b[["region", "a", "b"]].assign(cost=cost)[cost <= 2])
 
     return pairs.mapInPandas(run, "region string, a string, b string, cost double")
 
 
 def link(all_spellings: DataFrame) -> DataFrame:
     """(region, spelling, lookout) of every spelling that isn't common to any lookout. See spelling_pairs."""
-    seen = cut(all_spellings)
-    parsed = cut(_parsed(seen.select("region", "spelling").distinct()).withColumn("form", F.xxhash64("region", "core", "kind", "qualifiers")))
-    borne = seen.join(parsed.select("region", "spelling", "form"), ["region", "spelling"])
-    places = borne.groupBy("form").agg(F.percentile_approx("lat", 0.5).alias("lat"), F.percentile_approx("lon", 0.5).alias("lon"), F.mode("county").alias("county"))
-    forms = cut(parsed.select("form", "region", "core", "kind", "qualifiers").distinct().join(places, "form"))
-
-    cores = forms.select("region", "core").distinct()
+    borne = written(_parsed(all_spellings))
+    forms = written(
+        borne.groupBy("form", "region", "core", "kind", "qualifiers").agg(
+            F.percentile_approx("lat", 0.5).alias("lat"), F.percentile_approx("lon", 0.5).alias("lon"), F.mode("county").alias("county"), F.max(F.struct(F.size(F.split("own", " ")), "own")).alias("own")
+        ).withColumn("own", F.col("own.own"))
+    )
+    cores = forms.groupBy("region", "core").agg(F.max(F.struct(F.size(F.split("own", " ")), "own")).alias("own")).select("region", "core", "own.own")
     index = _index(cores)
-    met = index.alias("x").join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.region") == F.col("y.region")) & (F.col("x.core") < F.col("y.core")))
-    some = met.select("x.region", F.col("x.core").alias("a"), F.col("y.core").alias("b")).where(F.levenshtein("a", "b") <= 4).distinct()
-    words = _edits(some).union(cores.select("region", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0.0)))
+    met = index.alias("x").join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.region") == F.col("y.region")) & (F.col("x.how") == F.col("y.how")) & (F.col("x.core") < F.col("y.core")))
+    some = met.where((F.col("x.how") != BY_LETTERS) | (F.levenshtein("x.core", "y.core", 4) >= 0))
+    some = some.select("x.region", F.col("x.core").alias("a"), F.col("y.core").alias("b"), F.col("x.own").alias("own_a"), F.col("y.own").alias("own_b")).distinct()
+    words = _aligned(some).union(cores.select("region", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0.0)))
+    forms = forms.drop("own")
 
     left = forms.select([F.col(c).alias(f"{c}_a" if c not in ("region", "qualifiers") else c) for c in forms.columns]).withColumnRenamed("core_a", "a")
     right = forms.select([F.col(c).alias(f"{c}_b" if c not in ("region", "qualifiers") else c) for c in forms.columns]).withColumnRenamed("core_b", "b")
@@ -117,20 +171,27 @@ def link(all_spellings: DataFrame) -> DataFrame:
     alike = scored.where(same_kind).select(F.col("form_a").alias("src"), F.col("form_b").alias("dst"))
 
     bears = borne.select("bearer", "form").distinct()
-    first = bears.groupBy("bearer").agg(F.min("form").alias("src"), F.max("form").alias("last")).where("src <> last")
-    together = bears.join(first, "bearer").select("src", F.col("form").alias("dst")).where("src <> dst")
-    loops = forms.select(F.col("form").alias("src"), F.col("form").alias("dst"))
-    found = components(alike.union(kept).union(together).union(loops))
-    return parsed.join(found.withColumnRenamed("node", "form"), "form").select("region", "spelling", F.col("component").alias("lookout"))
+    together = bears.select(F.min("form").over(W.partitionBy("bearer")).alias("src"), F.col("form").alias("dst"))
+    found = components(alike.union(kept).union(together))  # every form is borne, so all are among these
+    return borne.select("region", "spelling", "form").distinct().join(found, F.col("form") == F.col("node")).select("region", "spelling", F.col("component").alias("lookout"))
+
+
+def spelling_classes(records: DataFrame, towers: DataFrame) -> DataFrame:
+    """(region, spelling, lookout, links): every spelling with its class, and with how many others it is linked by that.
+
+    The form for classes of any size: as many rows as spellings. See spelling_pairs for what is linked.
+    """
+    of = written(link(spellings(records, towers)))
+    return of.join(of.groupBy("lookout").agg((F.count(F.lit(1)) - 1).alias("links")), "lookout").select("region", "spelling", "lookout", "links")
 
 
 def spelling_pairs(records: DataFrame, towers: DataFrame) -> DataFrame:
     """(region, spelling_a, spelling_b): different spellings of one lookout, a before b by code point.
 
     Rows without region, null and blank names, and names that could stand for any lookout form no pair; repeated rows change
-    nothing. A spelling that fits several lookouts goes with all it is linked to.
+    nothing. A spelling is of one class in its region, so no pair comes twice. A single n, e, s or w is read as a direction.
     """
-    of = cut(link(spellings(records, towers)))
-    a = of.select("region", "lookout", F.col("spelling").alias("spelling_a"))
-    b = of.select("region", "lookout", F.col("spelling").alias("spelling_b"))
-    return a.join(b, ["region", "lookout"]).where("spelling_a < spelling_b").select("region", "spelling_a", "spelling_b").distinct()
+    of = written(link(spellings(records, towers)))
+    a = of.select("lookout", "region", F.col("spelling").alias("spelling_a"))
+    b = of.select("lookout", F.col("spelling").alias("spelling_b"))
+    return a.join(b, "lookout").where("spelling_a < spelling_b").select("region", "spelling_a", "spelling_b")

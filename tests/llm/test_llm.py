@@ -73,6 +73,18 @@ def test_spellings_of_one_lookout(spark):
     assert variants.spelling_pairs(r.limit(0), t.limit(0)).count() == 0
 
 
+def test_tokens_are_aligned(spark):
+    rec = "record_id bigint, rec_key string, name string, region string, county string, lat double, lon double, extra string"
+    names = ["John Carver Peak", "J. Carver Peak", "Carver, John Peak", "Jon Carvr Peak", "Bald Eagle Hill", "Eagle Bald Hill", "Bald G. Hill", "Bald Gopher Hill", "Babeckund Ridge", "Bbcknd Ridge", "Mary Carver Peak", "Bald Hill"]
+    r = spark.createDataFrame([(i, f"k:{i}", n, "MA", "Trudodock", 47.0, -109.0, None) for i, n in enumerate(names)], rec)
+    t = spark.createDataFrame([], "id string, name string, other_names array<string>, region string, county string, location struct<lat:double,lon:double>")
+    groups = [names[:4], names[4:6], names[6:8], names[8:10], [names[10]], [names[11]]]
+    want = {("MA", a, b) for g in groups for a in g for b in g if a < b}
+    assert {tuple(x) for x in variants.spelling_pairs(r, t).collect()} == want
+    of = {x["spelling"]: (x["lookout"], x["links"]) for x in variants.spelling_classes(r, t).collect()}
+    assert all(len({of[n][0] for n in g}) == 1 and of[g[0]][1] == len(g) - 1 for g in groups)
+
+
 def test_survivors_and_truth(spark):
     rows = spark.createDataFrame([(1, "g", 5, 1, "a"), (2, "g", 5, 1, "b"), (3, "g", 9, 0, ""), (4, "h", 1, 1, "a"), (5, None, 1, 1, "a"), (6, "g", None, 9, "c"), (7, "one", 1, 1, "a"), (8, "one", 1, 1, ""), (9, "two", 1, 1, ""), (10, "two", 1, 1, None)], "id bigint, k string, trust int, at int, v string")
     got = survivors.survivors(rows, "k", "id", {"v": F.col("v") != ""}, [F.coalesce("trust", F.lit(0)), F.col("at")]).collect()
