@@ -134,7 +134,8 @@ def _compare(b: pd.DataFrame, i: np.ndarray, j: np.ndarray, least: float) -> pd.
 def candidates(records: DataFrame, entities: DataFrame, window: int = WINDOW, least: float = LEAST) -> DataFrame:
     """(record, entity, confidence, alike) of the pairs that some window holds; records and entities are profiles.
 
-    alike: a pair of two records, `record` and `entity`; false for a record and an entity. All orders are one
+    alike: a pair of two records, `record` and `entity`, once for each window that held it; false for a record and an entity,
+    of which each pair comes once. All orders are one
     range-partitioned sort. A partition compares its own rows and hands out its first and last rows, so that windows reach
     over partitions' edges. Where more rows share one key than a window holds, its records meet its entities in a join on the
     key, so a run of equal keys, whatever its length, hides none.
@@ -148,7 +149,7 @@ def candidates(records: DataFrame, entities: DataFrame, window: int = WINDOW, le
             for name, key in _keys(b):
                 yield plain(b.assign(ordering=name, key=key)[key.notna()][columns])
 
-    every = rows.mapInPandas(keyed, key_schema)
+    every = written(rows.mapInPandas(keyed, key_schema))  # read for the ranges, for the windows and for runs of equal keys
     placed = every.repartitionByRange("ordering", "key", "id").sortWithinPartitions("ordering", "key", "id")
 
     def compare(b: pd.DataFrame, fresh: int) -> pd.DataFrame:
@@ -203,7 +204,8 @@ def candidates(records: DataFrame, entities: DataFrame, window: int = WINDOW, le
     across = seams.groupBy("seam").applyInPandas(over, _FOUND)
     names = ["record", "entity", "confidence", "alike"]
     both = got.where("record is not null").select(names).union(across).union(_tied(every, window, least))
-    return both.groupBy("record", "entity", "alike").agg(F.max("confidence").alias("confidence"))
+    matches = both.where("not alike").groupBy("record", "entity").agg(F.max("confidence").alias("confidence"), F.lit(False).alias("alike"))
+    return matches.select(names).union(both.where("alike"))
 
 
 def _tied(every: DataFrame, window: int, least: float) -> DataFrame:

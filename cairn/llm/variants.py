@@ -9,6 +9,7 @@ abbreviations, and place and county decide where the names alone don't. Forms th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -69,37 +70,29 @@ def _parsed(seen: DataFrame) -> DataFrame:
     return seen.mapInPandas(run, columns).where("core <> ''").withColumn("form", F.xxhash64("region", "core", "kind", "qualifiers"))
 
 
-#: How two words met: their letters, a token beside another's initial, their consonants.
-BY_LETTERS, BY_TOKEN, BY_BONES = 0, 1, 2
-
-
-def index_keys(core: str, own: list[str]) -> list[tuple[int, str]]:
-    """(how, key) of the symmetric-delete index for one name.
+def index_keys(core: str, own: list[str]) -> set[str]:
+    """Keys of the symmetric-delete index for one name.
 
     Letters deleted from all its own words as one; for a name of several tokens, letters deleted from each token, beside the
     initial of each other one, in any order; the consonants alone. Distinct words that share a key of letters are few however
     many rows there are: a word of n letters has fewer than (26 (n + 2))^2 / 2 that come of it by adding two.
     """
-    keys = [(BY_LETTERS, k) for k in deletes(core, slips(core))]
+    keys = deletes(core, slips(core))
     if len(own) > 1:
-        whole = [t for t in own if len(t) > 1]
-        keys += {(BY_TOKEN, f"{k} {u[:1]}") for i, t in enumerate(own) if t in whole for k in deletes(t, min(slips(t), 1)) for j, u in enumerate(own) if j != i}
-    if len(b := bones(core)) > 3:
-        keys.append((BY_BONES, b))
-    return keys
+        keys = keys | {f"{k} {u[:1]}" for i, t in enumerate(own) if len(t) > 1 for k in deletes(t, min(slips(t), 1)) for j, u in enumerate(own) if j != i}
+    return keys | {"=" + b} if len(b := bones(core)) > 3 else keys
 
 
 def _index(cores: DataFrame) -> DataFrame:
-    """(key, how, region, core, own) of the symmetric-delete index over (region, core, own)."""
+    """(key, word) of the symmetric-delete index over (word, region, core, own); word and key are numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r, h, k, c, o) for r, c, o in zip(b["region"], b["core"], b["own"], strict=True) for h, k in index_keys(c, o.split())]
-            for at in range(0, len(rows), 100_000):
-                yield pd.DataFrame(rows[at : at + 100_000], columns=["region", "how", "key", "core", "own"])
+            keys = [index_keys(c, o.split()) for c, o in zip(b["core"], b["own"], strict=True)]
+            size = [*map(len, keys)]
+            yield pd.DataFrame({"word": b["word"].to_numpy().repeat(size), "region": b["region"].to_numpy(object).repeat(size), "key": [*chain.from_iterable(keys)]})
 
-    got = cores.mapInPandas(run, "region string, how int, key string, core string, own string")
-    return got.select(F.xxhash64("region", "how", "key").alias("key"), "how", "region", "core", "own")
+    return cores.mapInPandas(run, "word bigint, region string, key string").select(F.xxhash64("region", "key").alias("key"), "word")
 
 
 def alignments(a: list[str], b: list[str], own_a: list[str], own_b: list[str]) -> np.ndarray:
@@ -141,11 +134,12 @@ def link(all_spellings: DataFrame) -> DataFrame:
             F.percentile_approx("lat", 0.5).alias("lat"), F.percentile_approx("lon", 0.5).alias("lon"), F.mode("county").alias("county"), F.max(F.struct(F.size(F.split("own", " ")), "own")).alias("own")
         ).withColumn("own", F.col("own.own"))
     )
-    cores = forms.groupBy("region", "core").agg(F.max(F.struct(F.size(F.split("own", " ")), "own")).alias("own")).select("region", "core", "own.own")
+    cores = forms.groupBy("region", "core").agg(F.max(F.struct(F.size(F.split("own", " ")), "own")).alias("own")).select(F.xxhash64("region", "core").alias("word"), "region", "core", "own.own")
     index = _index(cores)
-    met = index.alias("x").join(index.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.region") == F.col("y.region")) & (F.col("x.how") == F.col("y.how")) & (F.col("x.core") < F.col("y.core")))
-    some = met.where((F.col("x.how") != BY_LETTERS) | (F.levenshtein("x.core", "y.core", 4) >= 0))
-    some = some.select("x.region", F.col("x.core").alias("a"), F.col("y.core").alias("b"), F.col("x.own").alias("own_a"), F.col("y.own").alias("own_b")).distinct()
+    # a pair meets at many keys: it is made distinct as two numbers before its words are fetched
+    met = index.alias("x").join(index.alias("y"), F.col("x.key") == F.col("y.key")).where("x.word < y.word").select(F.col("x.word").alias("x"), F.col("y.word").alias("y")).distinct()
+    named = lambda n, w: cores.select(F.col("word").alias(w), F.col("region").alias(f"region_{n}"), F.col("core").alias(n), F.col("own").alias(f"own_{n}"))
+    some = met.join(named("a", "x"), "x").join(named("b", "y"), "y").where("region_a = region_b").select(F.col("region_a").alias("region"), "a", "b", "own_a", "own_b")
     words = _aligned(some).union(cores.select("region", F.col("core").alias("a"), F.col("core").alias("b"), F.lit(0.0)))
     forms = forms.drop("own")
 
