@@ -14,18 +14,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cairn.functions.quantity import METRES, UNITS, amount, height_in, unit
-from cairn.session import whole_groups
+from cairn.session import plain, whole_groups, written
 
-#: Weight of evidence. What is stated holds against any level or switch, as each is above LEVEL_MOST + 2 * SWITCH.
-STATED, NOTED, NAMED = 60.0, 45.0, 30.0
+#: Weight of evidence. What is stated holds against any level or switch, as it is above LEVEL_MOST + 2 * SWITCH; what a source's
+#: notes or a field's name say gives way where the level speaks against it and a switch is no dearer.
+STATED, NOTED, NAMED = 60.0, 14.0, 10.0
 SWITCH, LEVEL_MOST, LEVEL_SIGMA = 2.0, 12.0, 0.08
-#: Readings of one device that are decoded together; a hotter device is cut into interleaved parts, each with its own level.
+#: Readings of one device that are decoded in one go; a hotter device is cut by time, and the model's state carried over.
 MOST = 4096
 _LOG = np.log(np.array([METRES[u] for u in UNITS]))
 
 
+def _emission(value: np.ndarray, evidence: np.ndarray, weight: np.ndarray, level: np.ndarray | float) -> np.ndarray:
+    """Log weight of each reading under each unit."""
+    off = np.log(value)[:, None] + _LOG[None, :] - np.reshape(level, (-1, 1))
+    against = (evidence[:, None] >= 0) & (evidence[:, None] != np.arange(len(UNITS)))
+    return -np.minimum((off / LEVEL_SIGMA) ** 2 / 2, LEVEL_MOST) - np.where(against, weight[:, None], 0.0)
+
+
 def viterbi(value: np.ndarray, evidence: np.ndarray, weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """State (number of the unit) of each reading; readings of a device are consecutive, in time order.
 
@@ -45,9 +54,7 @@ def viterbi(value: np.ndarray, evidence: np.ndarray, weight: np.ndarray, lengths
         order = np.lexsort((log, known & (sure <= 0), group))
         count = np.where(known[first], np.bincount(group, sure > 0, groups), lengths).astype(np.int64)
         level = log[order[first + (count - 1) // 2]]
-        off = np.log(value)[:, None] + _LOG[None, :] - level[group][:, None]
-        emit = -np.minimum((off / LEVEL_SIGMA) ** 2 / 2, LEVEL_MOST)
-        emit -= np.where((evidence[:, None] >= 0) & (evidence[:, None] != np.arange(k)), weight[:, None], 0.0)
+        emit = _emission(value, evidence, weight, level[group])
         best, back = emit.copy(), np.zeros((n, k), np.int8)
         by_length = np.argsort(-lengths, kind="stable")
         longest, ordered = int(lengths.max()), lengths[by_length]
@@ -71,30 +78,106 @@ def viterbi(value: np.ndarray, evidence: np.ndarray, weight: np.ndarray, lengths
     return state
 
 
-def decode(readings: DataFrame) -> DataFrame:
+def decode(readings: DataFrame, most: int = MOST) -> DataFrame:
     """readings(id, device, ordinal, value, evidence, weight, ...) with `unit` and `metres` of each.
 
     value must be above 0. device: string; null devices are devices of their own reading. ordinal orders a device's readings (ties by id).
     evidence: a unit's name or null; weight: how much it counts. Other columns come out unchanged. A device with more than
-    MOST readings is cut into parts by the hash of id, so that no task holds more than it can.
+    `most` readings is cut by time: see _decode_long, which gives the same units but for the median, approximate there.
     """
     base = readings.withColumn("device", F.coalesce("device", F.concat(F.lit("\0"), F.col("id").cast("string"))))
-    hot = base.groupBy("device").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST)
-    parted = base.join(hot, "device", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / MOST)), F.lit(0).cast("bigint"))).drop("_n")
-    placed = parted.repartition("device", "_part").sortWithinPartitions("device", "_part", "ordinal", "id")
-    names = np.array(UNITS)
+    hot = base.groupBy("device").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    rows = (hot.agg(F.sum("_n")).first() or [0])[0] or 0
+    schema = StructType([*base.schema.fields]).add("unit", "string").add("metres", "double")
+    placed = (base.join(hot.select("device"), "device", "left_anti") if rows else base).repartition("device").sortWithinPartitions("device", "ordinal", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_groups(batches, ("device", "_part")):
-            fresh = ((b["device"] != b["device"].shift()) | (b["_part"] != b["_part"].shift())).to_numpy()
+        for b in whole_groups(batches, ("device",)):
+            fresh = (b["device"] != b["device"].shift()).to_numpy()
             lengths = np.diff(np.append(np.flatnonzero(fresh), len(b)))
-            evidence = b["evidence"].map({u: i for i, u in enumerate(UNITS)}).fillna(-1).astype(int).to_numpy()
-            value = b["value"].to_numpy(float)
-            state = viterbi(value, evidence, b["weight"].to_numpy(float), lengths)
-            yield b.drop(columns="_part").assign(unit=names[state], metres=value * np.exp(_LOG[state]))
+            state = viterbi(b["value"].to_numpy(float), _evidence(b), b["weight"].to_numpy(float), lengths)
+            yield _with_unit(b, state)
+
+    short = placed.select(base.columns).mapInPandas(run, schema)
+    return short.unionByName(_decode_long(base.join(hot.select("device"), "device"), schema, rows, most)) if rows else short
+
+
+def _evidence(b: pd.DataFrame) -> np.ndarray:
+    return b["evidence"].map({u: i for i, u in enumerate(UNITS)}).fillna(-1).astype(int).to_numpy()
 
-    schema = placed.drop("_part").schema.add("unit", "string").add("metres", "double")
-    return placed.mapInPandas(run, schema)
+
+def _with_unit(b: pd.DataFrame, state: np.ndarray) -> pd.DataFrame:
+    return plain(b.assign(unit=np.array(UNITS, dtype=object)[state], metres=b["value"].to_numpy(float) * np.exp(_LOG[state])))
+
+
+def _decode_long(readings: DataFrame, schema: StructType, rows: int, most: int) -> DataFrame:
+    """decode() of devices with very many readings, each cut by time into segments that tasks decode side by side.
+
+    A segment is summed up as the best score from each first unit to each last one; a device's few segments are then run
+    through in order, forwards for the scores at which each begins and backwards for the unit at which each ends; with
+    both, every segment decodes as if the device were whole. The level is the device's median, by percentile_approx.
+    """
+    k = len(UNITS)
+    cutup = readings.repartitionByRange(-(-rows // most), "device", "ordinal", "id").withColumn("_part", F.spark_partition_id())
+    held = written(cutup)
+    names, undecided = schema.names, [*held.columns, "_unit"]
+    units = F.array(*map(F.lit, UNITS))
+    factor = F.element_at(F.array(*map(F.lit, _LOG.tolist())), F.greatest(F.array_position(units, F.col("_unit")), F.lit(1)).cast("int"))
+    sure = F.col("evidence").isNotNull() & (F.col("weight") > 0)
+    known = held.withColumn("_unit", F.col("evidence"))
+    for last in (False, True):
+        log = F.log("value") + factor
+        level = known.groupBy("device").agg(F.coalesce(F.percentile_approx(F.when(sure, log), 0.5, 100_000), F.percentile_approx(log, 0.5, 100_000)).alias("_level"))
+        levelled = held.join(level, "device")
+
+        def summed(b: pd.DataFrame) -> pd.DataFrame:
+            emit = _emission(*_sorted(b))
+            best = np.where(np.eye(k, dtype=bool), emit[0][None, :], -np.inf)
+            for e in emit[1:]:
+                best = e + np.maximum(best, best.max(axis=1, keepdims=True) - SWITCH)
+            return pd.DataFrame({"device": b["device"].iloc[:1], "_part": b["_part"].iloc[:1], "best": [best.ravel()]})
+
+        def chained(b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values("_part", ignore_index=True)
+            entry, before = [np.zeros(k)], []
+            for best in b["best"]:
+                score = (entry[-1][:, None] + np.reshape(best, (k, k))).max(axis=0)
+                before.append(score)
+                entry.append(np.maximum(score, score.max() - SWITCH))
+            ends = [int(before[-1].argmax())]
+            for n in range(len(b) - 1, 0, -1):
+                first = int((entry[n] + np.reshape(b["best"][n], (k, k))[:, ends[0]]).argmax())
+                score = before[n - 1]
+                ends.insert(0, first if score[first] >= score.max() - SWITCH else int(score.argmax()))
+            return pd.DataFrame({"device": b["device"], "_part": b["_part"], "entry": entry[:-1], "end": ends})
+
+        segments = levelled.groupBy("device", "_part").applyInPandas(summed, "device string, _part int, best array<double>").groupBy("device").applyInPandas(chained, "device string, _part int, entry array<double>, end int")
+
+        def decoded(b: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:  # pickled here, with this round's `last`
+            b = b.sort_values(["ordinal", "id"], ignore_index=True)
+            emit = _emission(*_sorted(b))
+            best, back = emit[0] + np.array(segment["entry"].iloc[0]), np.zeros((len(b), k), np.int8)
+            for t in range(1, len(b)):
+                top = int(best.argmax())
+                change = best[top] - SWITCH
+                back[t] = np.where(best >= change, np.arange(k), top)
+                best = emit[t] + np.maximum(best, change)
+            state = np.zeros(len(b), np.int64)
+            state[-1] = segment["end"].iloc[0]
+            for t in range(len(b) - 1, 0, -1):
+                state[t - 1] = back[t, state[t]]
+            out = _with_unit(b, state)
+            return out[names] if last else out.rename(columns={"unit": "_unit"})[undecided]
+
+        kind = schema if last else StructType([*held.schema.fields, StructField("_unit", StringType())])
+        known = levelled.groupBy("device", "_part").cogroup(segments.groupBy("device", "_part")).applyInPandas(decoded, kind)
+    return known
+
+
+def _sorted(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Values, evidence and weights of a device's readings in order, and its level."""
+    b = b.sort_values(["ordinal", "id"])
+    return b["value"].to_numpy(float), _evidence(b), b["weight"].to_numpy(float), float(b["_level"].iloc[0])
 
 
 def payload(extra: Column) -> Column:

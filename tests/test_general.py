@@ -130,3 +130,19 @@ def test_lengths_with_nulls_everywhere(spark, sf):
     assert units.lengths_in_metres(r.limit(0), s).count() == 0
     assert nested.linked_children(blank).count() == 0
     assert pd.notna(units.lengths_in_metres(r, s).toPandas()["value_m"]).all()
+
+
+def test_long_device_is_cut_by_time_with_its_state(spark):
+    rng = np.random.default_rng(5)
+    factor = {"m": 1.0, "ft": 1 / 0.3048}
+    unit, rows = "m", []
+    for i in range(3000):
+        unit = unit if rng.random() > 0.01 else ("ft" if unit == "m" else "m")
+        said = [None, None, None, unit][rng.integers(4)]
+        # now and then the field's name says another unit, which the level outweighs
+        named = rng.random() < 0.02
+        rows.append((i, "d", i // 7, float(1000 * factor[unit] * rng.normal(1, 0.01)), "ten_ft" if named else said, units.NAMED if named else units.STATED if said else 0.0))
+    df = spark.createDataFrame(rows, "id bigint, device string, ordinal bigint, value double, evidence string, weight double")
+    whole, cut = ({r["id"]: r["unit"] for r in units.decode(df, most).collect()} for most in (10_000, 100))
+    assert whole == cut and len(cut) == 3000
+    assert sum(u == "ten_ft" for u in whole.values()) == 0
