@@ -46,8 +46,9 @@ _LENGTH = re.compile(
 )
 #: What a word of an entry costs if nothing in the value stands for it, and a word of the value that stands for none.
 MISSING, EXTRA, SHORTENED = 3.0, 1.5, 0.25
-BROADCAST_ENTRIES = 20_000
-SHARD_ENTRIES = 5_000
+BROADCAST_ENTRIES, BROADCAST_BYTES = 20_000, 16_000_000
+SHARD_ENTRIES, GROUP_VALUES = 5_000, 50_000
+MOST_OTHER = 20_000
 
 
 def fold(text: str) -> str:
@@ -106,6 +107,7 @@ class Matcher:
                 self.short[fold(s)].add(w)
                 if len(s) > 3:
                     self.tree.add(fold(s))
+        self.longest = max(map(len, self.whole), default=0)
         self.known: dict[str, dict[str, float]] = {}
 
     def near(self, word: str) -> dict[str, float]:
@@ -136,16 +138,21 @@ class Matcher:
 
     def best(self, value: str) -> tuple[str, float] | None:
         """(code, cost) of the closest entry, None if none is close enough; ties go to the smallest code."""
+        found = self.by_words(value)
+        return found or self._whole(value)
+
+    def by_words(self, value: str) -> tuple[str, float] | None:
+        """best(), by words alone."""
         ws = words(value)
-        if not ws or len(ws) > 12:
-            return self._whole(value)
+        if not ws:
+            return None
         found = self._score(ws, None)
         if found is None or found[0] > 1.5:
             for i in range(len(ws) - 1):
                 group = [*ws[:i], ws[i] + ws[i + 1], *ws[i + 2 :]]
                 if self.near(group[i]):
                     found = self._score(group, found)
-        return (found[1], found[0]) if found else self._whole(value)
+        return (found[1], found[0]) if found else None
 
     def _score(self, ws: list[str], found: tuple[float, str] | None) -> tuple[float, str] | None:
         costs = [self.near(w) for w in ws]
@@ -168,14 +175,20 @@ class Matcher:
         tried = [letters, *(letters[len(f) :] for f in FILLER if len(f) > 2 and letters.startswith(f))]
         got = []
         for t in tried:
-            if 6 <= len(t) <= 60:
+            if t and len(t) - len(t) // 6 <= self.longest:  # else every entry differs by more letters
                 got += [(float(d), self.entries[self.whole[w]][0]) for w, d in self.whole_tree.within(t, len(t) // 6)]
         return (min(got)[1], min(got)[0]) if got else None
 
     @staticmethod
     def _assign(entry: list[str], costs: list[dict[str, float]], group: list[str]) -> float:
-        """Least total cost of assigning the entry's words to different words of the value (dynamic programme over subsets)."""
-        best = {0: 0.0}
+        """Least total cost of assigning the entry's words to different words of the value (dynamic programme over subsets).
+
+        Only words that some word of the entry is near to take part, so a long value is no dearer than its near words.
+        """
+        alike = [any(w in near for w in entry) for near in costs]
+        idle = sum(EXTRA * (len(g) > 1) + 0.2 for g, a in zip(group, alike, strict=True) if not a)
+        costs, group = [c for c, a in zip(costs, alike, strict=True) if a], [g for g, a in zip(group, alike, strict=True) if a]
+        best = {0: idle}
         for w in entry:
             step: dict[int, float] = {}
             for mask, c in best.items():
@@ -194,17 +207,22 @@ class Matcher:
 def map_values(values: DataFrame, reference: DataFrame, also: DataFrame | None = None, none: str = "none") -> DataFrame:
     """(record_id, field, ref_code) of each row of values(record_id, field, value) that is neither null nor blank.
 
-    reference(field, ref_code, label); also(word, other): other names for a word of the labels. A value without an entry
-    close enough gets `none`; on a tie the smallest code wins. Repeated rows come out repeated; an empty list matches nothing.
-    With up to BROADCAST_ENTRIES entries the list goes to every task, and no row is shuffled; each task looks every
-    distinct value up once. A longer list is cut into shards of SHARD_ENTRIES, which distinct values pass one by one.
+    reference(field, ref_code, label); also(word, other): other names for a word of the labels, at most MOST_OTHER (more are an
+    error). A value without an entry close enough gets `none`; on a tie the smallest code wins. Repeated rows come out
+    repeated; an empty list matches nothing. A list of up to BROADCAST_ENTRIES entries and BROADCAST_BYTES goes to every task,
+    and no row is shuffled; each task looks every distinct value up once. A longer list is cut into shards of about
+    SHARD_ENTRIES; distinct values, dealt by their number into groups of about GROUP_VALUES, meet every shard, and the
+    shards' winners merge: an entry found by words comes before one found by all letters, in whatever shard.
     """
-    values = values.where(F.col("value").isNotNull() & (F.length(F.trim(F.regexp_replace("value", r"[\s ]+", " "))) > 0)).select("record_id", "field", "value")
+    values = values.where(F.col("value").isNotNull() & (F.length(F.trim(F.regexp_replace("value", r"[\s ]+", " "))) > 0)).select("record_id", "field", "value")
     other: dict[str, list[str]] = defaultdict(list)
-    for r in also.limit(BROADCAST_ENTRIES).collect() if also is not None else ():
+    for r in also.limit(MOST_OTHER + 1).collect() if also is not None else ():
         other[fold(r["word"])].append(r["other"])
+    if sum(map(len, other.values())) > MOST_OTHER:
+        raise ValueError(f"more than {MOST_OTHER} other names of words")
     other = dict(other)
-    if reference.count() <= BROADCAST_ENTRIES:
+    size = reference.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("label") + F.octet_length("ref_code")), F.lit(0)).alias("b")).first()
+    if size["n"] <= BROADCAST_ENTRIES and size["b"] <= BROADCAST_BYTES:
         lists: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for r in reference.collect():
             lists[r["field"]].append((r["ref_code"], r["label"]))
@@ -227,17 +245,21 @@ def map_values(values: DataFrame, reference: DataFrame, also: DataFrame | None =
 
         return values.mapInPandas(run, "record_id bigint, field string, ref_code string")
 
-    shards = reference.withColumn("shard", F.pmod(F.xxhash64("ref_code"), F.lit(-(-reference.count() // SHARD_ENTRIES))))
-    lists_of = shards.groupBy("field", "shard").agg(F.collect_list(F.struct("ref_code", "label")).alias("entries"))
-    distinct = values.select("field", "value").distinct().withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(64)))
-    asked = distinct.groupBy("field", "salt").agg(F.collect_list("value").alias("texts")).join(lists_of, "field")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                m = Matcher([(e["ref_code"], e["label"]) for e in r.entries], other)
-                got = [(v, m.best(v)) for v in r.texts]
-                yield pd.DataFrame([(r.field, v, g[0], g[1]) for v, g in got if g], columns=["field", "value", "ref_code", "cost"])
-
-    winners = asked.mapInPandas(search, "field string, value string, ref_code string, cost double").groupBy("field", "value").agg(F.min(F.struct("cost", "ref_code")).alias("w"))
+    distinct = values.select("field", "value").distinct()
+    shards, groups = -(-size["n"] // SHARD_ENTRIES), max(1, -(-distinct.count() // GROUP_VALUES))
+    entries = reference.withColumn("shard", F.pmod(F.xxhash64("ref_code"), F.lit(shards))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = distinct.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
+
+    def search(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        m = Matcher(list(zip(listed["ref_code"], listed["label"], strict=True)), other)
+        rows = []
+        for f, v in zip(texts["field"], texts["value"], strict=True):
+            named = m.by_words(v)
+            if got := named or m._whole(v):
+                rows.append((f, v, named is None, got[1], got[0]))
+        return pd.DataFrame(rows, columns=["field", "value", "by_letters", "cost", "ref_code"])
+
+    keys = ["field", "shard", "part"]
+    met = asked.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(search, "field string, value string, by_letters boolean, cost double, ref_code string")
+    winners = met.groupBy("field", "value").agg(F.min(F.struct("by_letters", "cost", "ref_code")).alias("w"))
     return values.join(winners, ["field", "value"], "left").select("record_id", "field", F.coalesce("w.ref_code", F.lit(none)).alias("ref_code"))

@@ -7,6 +7,7 @@ pass over it; then slots and blocks are joined by the block's number.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,12 +88,7 @@ def shard_counts(slots: list[int], shards: int, shard: int, seed: int) -> tuple[
     while high - low > 1:
         mid = (low + high) // 2
         take = int(left.sum()) * (mid - low) // (high - low)
-        rng = np.random.default_rng([seed, low, high])
-        if left.sum() < 1_000_000_000:
-            first = rng.multivariate_hypergeometric(left, take, method="marginals")
-        else:  # so many slots that the draw's spread is nothing beside them
-            first = left * take // max(int(left.sum()), 1)
-            first[: take - int(first.sum())] += 1
+        first = _drawn(np.random.default_rng([seed, low, high]), left, take)
         if shard < mid:
             left, high = first, mid
         else:
@@ -100,6 +96,31 @@ def shard_counts(slots: list[int], shards: int, shard: int, seed: int) -> tuple[
     return left, before
 
 
+#: The generator's own bound for an exact hypergeometric draw.
+EXACT_DRAW = 1_000_000_000
+
+
+def _drawn(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of `take` slots fall to each source, without replacement; source by source, each given those before it.
+
+    From EXACT_DRAW slots on, where the generator has no exact draw, a count is drawn from the normal distribution of the same
+    mean and spread, whose error there is far below one part in a thousand of the spread; the total stays exact.
+    """
+    out = np.zeros_like(left)
+    rest = int(left.sum())
+    for i, have in enumerate(left.tolist()):
+        low, high = max(0, take - (rest - have)), min(have, take)
+        if rest < EXACT_DRAW:
+            out[i] = rng.hypergeometric(have, rest - have, take) if take else 0
+        else:
+            p = have / rest
+            spread = math.sqrt(max(take * p * (1 - p) * ((rest - take) / max(rest - 1, 1)), 0.0))
+            out[i] = min(max(round(take * p + spread * rng.standard_normal()), low), high)
+        rest -= have
+        take -= int(out[i])
+    return out
+
+
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of range(size) at the given places: a four-round Feistel network, walked until in range."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
@@ -177,8 +198,15 @@ def mix(docs: DataFrame, targets: DataFrame, ranks: dict[bytes, int], seed: int
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, weight, share, tokens, passes): what each source was meant to give and gave."""
-    got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("pass_no") + 1).alias("passes"))
-    total = got.agg(F.sum("tokens").alias("_all"))
-    joined = targets.join(got, "source", "left").crossJoin(total)  # one row of totals
-    return joined.select("source", "weight", F.round(F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)), 6).alias("share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("passes", F.lit(0)).alias("passes"))
+    """(source, weight, share, tokens, passes, exact_total): what each source was meant to give and gave.
+
+    exact_total: of how many tokens a mix could be with every share as wanted, set by the source that reaches max_repeats
+    first; null if no source did, so that the shares are as wanted.
+    """
+    got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("pass_no") + 1).alias("passes"), F.sum(F.when(F.col("pass_no") == 0, F.col("tokens"))).alias("_held"))
+    joined = targets.join(got, "source", "left")
+    # a source at its limit has been gone through, so its first pass holds all its tokens
+    exact = F.when(F.col("passes") >= F.col("max_repeats"), F.floor(F.col("max_repeats") * F.col("_held") / F.col("weight")))
+    total = joined.agg(F.sum("tokens").alias("_all"), F.min(exact).alias("exact_total"))
+    joined = joined.crossJoin(total)  # one row of totals
+    return joined.select("source", "weight", "exact_total", F.round(F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)), 6).alias("share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("passes", F.lit(0)).alias("passes"))

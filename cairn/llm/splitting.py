@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from cairn.llm.bpe import TextEncoder
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, SYMBOL, NONE, BROKEN = 6, 5, 4, 3, 2, 1, 0, -1
+#: Least limit: a character may be four tokens.
+LEAST_TOKENS = 8
 MOST_LIMITS = 100_000
 _SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
 _ENDS = np.array([ord(c) for c in ".!?…"], dtype=np.uint32)
@@ -76,7 +78,8 @@ def cuts(strength: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]
     n = len(strength) - 1
     if n <= most:
         return [(0, n)] if n else []
-    overlap = min(max(overlap, 0), most // 2 - 1) if most > 3 else 0
+    if not 0 <= overlap < most // 2:
+        raise ValueError(f"an overlap of {overlap} needs a limit of more than {2 * overlap + 1}, not {most}")
     sound = strength.astype(np.int64).copy()
     back = np.arange(n + 1) - overlap
     sound[(back < 0) | (strength[np.maximum(back, 0)] == BROKEN)] = BROKEN
@@ -103,14 +106,17 @@ def cuts(strength: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]
 def split(docs: DataFrame, limits: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, piece, pieces, start_token, end_token, start_char, end_char, strength, text), pieces of each text in order.
 
-    limits(source, max_tokens, overlap_tokens), at most MOST_LIMITS rows. A text within its limit, or of a source without one, is one piece; a null
+    limits(source, max_tokens, overlap_tokens), at most MOST_LIMITS rows; max_tokens at least LEAST_TOKENS and more than
+    twice overlap_tokens, else an error. A text within its limit, or of a source without one, is one piece; a null
     or empty text has none. A piece's own encoding never has more than max_tokens: where cutting inside a word would give
-    more, the text is cut again with a lower limit. strength: of the boundary at the piece's end.
+    more, the text is cut again with a lower limit, and, if not even the lowest is enough, with half the overlap. strength: of the boundary at the piece's end.
     """
     rows = limits.limit(MOST_LIMITS + 1).collect()
     if len(rows) > MOST_LIMITS:
         raise ValueError(f"more than {MOST_LIMITS} limits")
-    of = {r["source"]: (r["max_tokens"], r["overlap_tokens"] or 0) for r in rows if r["max_tokens"]}
+    of = {r["source"]: (r["max_tokens"], r["overlap_tokens"] or 0) for r in rows if r["max_tokens"] is not None}
+    if wrong := sorted(str(s) for s, (m, o) in of.items() if m < LEAST_TOKENS or not 0 <= o < m // 2):
+        raise ValueError(f"limits too small, or overlaps too long for them: {', '.join(wrong)}")
     length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
     for b, r in ranks.items():
         length[r] = len(b)
@@ -135,9 +141,14 @@ def split(docs: DataFrame, limits: DataFrame, ranks: dict[bytes, int], key: str
                 while True:
                     got = cuts(strength, limit, overlap)
                     over = max(encoder.count(t[place[i] : place[j]]) for i, j in got) - most
-                    if over <= 0 or limit <= max(8, overlap + 2):
+                    if over <= 0:
                         break
-                    limit = max(8, overlap + 2, limit - over)
+                    if limit > 2 * overlap + 2:
+                        limit = max(2 * overlap + 2, limit - over)
+                    elif overlap:
+                        limit, overlap = most, overlap // 2
+                    else:
+                        raise ValueError(f"the text of {k} has no pieces of {most} tokens")
                 out += [(k, p, len(got), i, j, int(place[i]), int(place[j]), int(strength[j]), t[place[i] : place[j]]) for p, (i, j) in enumerate(got)]
             yield pd.DataFrame(out, columns=columns)
 

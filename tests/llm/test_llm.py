@@ -45,12 +45,24 @@ def test_values_are_mapped_and_shards_agree(spark, sf):
     df = spark.createDataFrame(v, "record_id bigint, field string, value string").withColumn("label", F.lit("clash"))
     want = [(1, "a", "X1"), (2, "a", "none"), (5, "b", "Y0"), (6, "c", "none"), (7, "a", "X2"), (7, "a", "X2"), (8, "b", "none")]
     assert sorted(tuple(r) for r in canonical.map_values(df, ref).collect()) == want
-    old = canonical.BROADCAST_ENTRIES, canonical.SHARD_ENTRIES
-    canonical.BROADCAST_ENTRIES, canonical.SHARD_ENTRIES = 2, 1
-    try:
-        assert sorted(tuple(r) for r in canonical.map_values(df, ref).collect()) == want
-    finally:
-        canonical.BROADCAST_ENTRIES, canonical.SHARD_ENTRIES = old
+    # values of more words, and of more letters run together, than used to be looked at
+    long = [("a", f"Federal Timber {' '.join('abcdefghjklm')} Service", "X1"), ("a", "b c d e f g h j k l m q r open range bureau", "X2"), ("c", "wellknownobservatoriesandlaboratoriesofthenortherncoastalmountains", "Z1")]
+    more = ref.union(spark.createDataFrame([("c", "Z1", "Well-known observatories and laboratories of the northern coastal mountains")], ref.schema))
+    typed = spark.createDataFrame([(i, f, v) for i, (f, v, _) in enumerate(long)], "record_id bigint, field string, value string")
+    names = ("BROADCAST_ENTRIES", "SHARD_ENTRIES", "GROUP_VALUES")
+    old = [getattr(canonical, n) for n in names]
+    for sizes in (old, (2, 1, 3)):
+        for n, v in zip(names, sizes):
+            setattr(canonical, n, v)
+        try:
+            assert sorted(tuple(r) for r in canonical.map_values(df, ref).collect()) == want
+            assert [r["ref_code"] for r in canonical.map_values(typed, more).orderBy("record_id").collect()] == [w for _, _, w in long]
+        finally:
+            for n, v in zip(names, old):
+                setattr(canonical, n, v)
+    other = spark.range(canonical.MOST_OTHER + 1).selectExpr("cast(id as string) as word", "'x' as other")
+    with pytest.raises(ValueError):
+        canonical.map_values(df, ref, other)
     assert canonical.map_values(df.limit(0), ref).count() == 0
 
 
@@ -174,6 +186,12 @@ def test_mix_plan_and_permutation():
     per = [mixing.shard_counts(slots, shards, s, 3) for s in range(shards)]
     assert np.sum([c for c, _ in per], axis=0).tolist() == slots
     assert all((per[s][1] == np.sum([c for c, _ in per[:s]], axis=0)).all() for s in range(1, shards))
+    # beyond the generator's exact draws: still a draw, of another seed another, and every source fills its slots
+    big = [3_000_000_000, 1_000_000_000, 500_000]
+    one, two = ([mixing.shard_counts(big, 4, s, seed)[0] for s in range(4)] for seed in (1, 2))
+    assert np.sum(one, axis=0).tolist() == np.sum(two, axis=0).tolist() == big
+    assert any((a != b).any() for a, b in zip(one, two)) and all(abs(int(a.sum()) - 1_000_125_000) <= 1 for a in one)
+    assert all(abs(int(a[0]) - 750_000_000) < 200_000 for a in one)
     p = mixing.plan({"a": 10_000, "b": 100, "z": 5}, [("a", 0.5, 1), ("b", 0.5, 3), ("c", 0.1, 9), ("z", 0.0, 2)], 10)
     assert p.sources == ["a", "b"] and p.slots[1] == 30 and p.slots[0] <= 1000
     assert mixing.plan({"a": 1000, "b": 1000}, [("a", 0.75, 1), ("b", 0.25, 1)], 10, total=1000).slots == [75, 25]
@@ -190,6 +208,11 @@ def test_mix_keeps_to_its_limits(spark, sf, ranks):
         blocks[r["shard"], r["slot"]] += r["tokens"]
     assert max(blocks.values()) <= mixing.BLOCK_TOKENS
     assert mixing.mix(docs.limit(0), target, ranks).count() == 0
+    share = mixing.shares(spark.createDataFrame(m), target).collect()
+    exact = share[0]["exact_total"]
+    assert exact and len({r["exact_total"] for r in share}) == 1
+    fits = mixing.shares(mixing.mix(docs, target, ranks, shard_slots=64, total=exact), target)
+    assert fits.where(f"abs(share - weight) > 0.02 + {2 * mixing.BLOCK_TOKENS / exact}").count() == 0  # a slot is a whole block
 
 
 def test_sparse_table():
@@ -211,6 +234,9 @@ def test_pieces(spark, ranks):
     by = defaultdict(list)
     for r in splitting.split(docs, limits, ranks).collect():
         by[r["doc_id"]].append(r)
+    for wrong in ([("s", 10, 8)], [("s", 4, 0)], [("s", 128, -1)]):
+        with pytest.raises(ValueError):
+            splitting.split(docs, spark.createDataFrame(wrong, limits.schema), ranks)
     encoder = bpe.TextEncoder(ranks)
     assert set(by) == {0, 1, 2, 3, 6, 7, 90, 91} and len(by[90]) == len(by[91]) == len(by[3]) == 1
     for k in (0, 1, 2, 6, 7):
