@@ -120,13 +120,13 @@ def crossing(lat1: Column, lon1: Column, b1: Column, lat2: Column, lon2: Column,
 
 
 def cut_angle(b1: Column, b2: Column) -> Column:
-    """Angle at which two bearings cut, at most 90."""
-    d = F.pmod(b1 - b2, F.lit(180.0))
-    return F.least(d, 180 - d)
+    """Angle between two lines of sight, 0 to 180; 90 makes the best fix."""
+    return F.abs(angle_between(b2, b1))
 
 
 def fix_score(metres: Column) -> Column:
-    return F.when(metres <= 400, 3).when(metres <= 1500, 2).when(metres <= 5000, 1).otherwise(0)
+    """3, 2 or 1 for a fix nearer than 400, 1,500 and 5,000 m."""
+    return F.when(metres < 400, 3).when(metres < 1500, 2).when(metres < 5000, 1).otherwise(0)
 
 
 def compass16(deg: Column) -> Column:
@@ -140,22 +140,22 @@ _WGS84, _CLARKE = (6378137.0, 1 / 298.257223563), (6378206.4, 1 / 294.9786982)
 
 
 def to_nad27(lat: Column, lon: Column, area: str = "conus") -> tuple[Column, Column]:
-    """Abridged Molodensky from WGS84 to NAD27: (lat, lon)."""
+    """Molodensky's standard formulas at height 0, from WGS84 to NAD27: (lat, lon). As in DMA Technical Report 8350.2."""
     dx, dy, dz = SHIFTS[area]
     a, f = _WGS84
     da, df = _CLARKE[0] - a, _CLARKE[1] - f
-    dx, dy, dz = -dx, -dy, -dz
-    e2 = f * (2 - f)
+    e2, b = f * (2 - f), a * (1 - f)
     p, o = F.radians(lat), F.radians(lon)
-    w = 1 - e2 * F.sin(p) ** 2
+    sp, cp, so, co = F.sin(p), F.cos(p), F.sin(o), F.cos(o)
+    w = 1 - e2 * sp * sp
     m, n = a * (1 - e2) / F.pow(w, 1.5), a / F.sqrt(w)
-    dp = (-dx * F.sin(p) * F.cos(o) - dy * F.sin(p) * F.sin(o) + dz * F.cos(p) + (a * df + f * da) * F.sin(2 * p)) / m
-    do = (-dx * F.sin(o) + dy * F.cos(o)) / (n * F.cos(p))
-    return lat + F.degrees(dp), lon + F.degrees(do)
+    north = -dx * sp * co - dy * sp * so + dz * cp + da * n * e2 * sp * cp / a + df * (m * a / b + n * b / a) * sp * cp
+    east = -dx * so + dy * co
+    return lat + F.degrees(north / m), lon + F.degrees(east / (n * cp))
 
 
 def meridian_m(lat: Column, a: float = _CLARKE[0], f: float = _CLARKE[1]) -> Column:
-    """Length of the meridian from the equator."""
+    """Length of the meridian from the equator (Snyder, Map Projections, equation 3-21)."""
     e = f * (2 - f)
     p = F.radians(lat)
     c0, c2, c4, c6 = 1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256, 3 * e / 8 + 3 * e**2 / 32 + 45 * e**3 / 1024, 15 * e**2 / 256 + 45 * e**3 / 1024, 35 * e**3 / 3072

@@ -80,17 +80,18 @@ def shingles(c: Column, n: int) -> Column:
 
 
 def quote_match(quote: Column, text: Column) -> Column:
-    """found: the text holds the quote, or all its parts of three words around an ellipsis; close: of six words or more,
-    85 % of its runs of four stand in the text; else missing. Both are in quote_form except that the quote's ellipses are kept."""
-    parts = F.filter(F.transform(F.split(quote, r"\s*(?:\.\.\.|…|\[…\])\s*"), quote_form), lambda p: F.size(F.split(p, " ")) >= 3)
+    """found: the text holds the quote, or all its parts of three words around an ellipsis or brackets; close: of six words or
+    more, 85 % of its different runs of four stand in the text; else missing. Nothing left of a quote is found anywhere; a
+    null of either is no answer. The text is in quote_form."""
+    parts = F.filter(F.transform(F.split(quote, r"\.\.\.|…|\[[^\]]*\]"), quote_form), lambda p: F.size(F.split(p, " ")) >= 3)
     whole = quote_form(quote)
-    runs = shingles(whole, 4)
+    runs = F.array_distinct(shingles(whole, 4))
     hits = F.size(F.filter(runs, lambda r: text.contains(r)))
     return (
-        F.when((whole != "") & text.contains(whole), "found")
+        F.when(text.contains(whole), "found")
         .when((F.size(parts) > 1) & F.forall(parts, lambda p: text.contains(p)), "found")
         .when((F.size(F.split(whole, " ")) >= 6) & (hits >= 0.85 * F.size(runs)), "close")
-        .otherwise("missing")
+        .when(quote.isNotNull() & text.isNotNull(), "missing")
     )
 
 

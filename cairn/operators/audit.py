@@ -9,32 +9,40 @@ from pyspark.sql.window import Window as W
 from cairn.operators.proximity import usable
 
 
-def coverage(records: DataFrame, holders: DataFrame, key: str = "rec_key", order: str = "record_id") -> DataFrame:
-    """records with `held`, `repeat` (second or later occurrence of a key that isn't held) and `reason` why it isn't held.
+REASONS = ("no_coordinates", "coordinates_outside_country", "duplicate_key", "unmatched")
 
-    holders(key): keys that entities hold. A held key counts as held however often it occurs.
+
+def coverage(records: DataFrame, holders: DataFrame, boxes: DataFrame, key: str = "rec_key", order: str = "record_id") -> DataFrame:
+    """records that have a key, with `visible`, `approximate` (whether a visible entity holds it, and one at an approximate place), `held` and `reason` why it isn't held.
+
+    holders(key, hidden, approximate): what entities hold, a row for each entity. boxes(country, lat0, lat1, lon0, lon1): the
+    parts of each country, few rows. A key that isn't held counts as repeated from its second delivery by one source on;
+    coordinates that can't be, or lie outside all of the country's boxes, are not the country's.
     """
-    marked = records.join(holders.select(F.col(key)).distinct().withColumn("held", F.lit(True)), key, "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    n = F.row_number().over(W.partitionBy("source", key).orderBy(order))
-    out = marked.withColumn("repeat", ~F.col("held") & (n > 1))
-    sound = usable(F.col("lat"), F.col("lon"))
+    shown = ~F.coalesce("hidden", F.lit(False))
+    held = holders.where(F.col(key).isNotNull()).groupBy(key).agg(F.bool_or(shown).alias("visible"), F.bool_or(shown & F.coalesce("approximate", F.lit(False))).alias("approximate")).withColumn("held", F.lit(True))
+    parts = boxes.groupBy("country").agg(F.collect_list(F.struct("lat0", "lat1", "lon0", "lon1")).alias("_boxes"))
+    keyed = records.where(F.length(key) > 0).withColumn("_n", F.row_number().over(W.partitionBy("source", key).orderBy(order)))
+    out = keyed.join(held, key, "left").join(F.broadcast(parts), "country", "left")  # a row for each country
+    lat, lon = F.col("lat"), F.col("lon")
+    inside = usable(lat, lon) & F.exists("_boxes", lambda b: lat.between(b.lat0, b.lat1) & lon.between(b.lon0, b.lon1))
     reason = (
         F.when(F.col("held"), None)
-        .when(F.col("repeat"), "duplicate_key")
-        .when(F.coalesce(F.trim("name"), F.lit("")) == "", "no_name")
-        .when(F.col("lat").isNull() | F.col("lon").isNull(), "no_coordinates")
-        .when(~sound, "coordinates_unusable")
-        .otherwise("not_matched")
+        .when(F.col("_n") > 1, "duplicate_key")
+        .when(F.coalesce(inside, F.lit(False)), "unmatched")
+        .when(lat.isNotNull() & lon.isNotNull(), "coordinates_outside_country")
+        .otherwise("no_coordinates")
     )
-    return out.withColumn("reason", reason)
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("held", "visible", "approximate")}
+    return out.withColumn("reason", reason).withColumns(flags).drop("_n", "_boxes")
 
 
 def coverage_report(audited: DataFrame) -> DataFrame:
-    """(source, records, held, repeats, no_name, no_coordinates, unusable, unmatched), a total under a null source."""
-    count = lambda r: F.count_if(F.coalesce(F.col("reason") == r, F.lit(False)))
+    """(source, nine measures), a total under a null source."""
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return audited.rollup("source").agg(
-        F.count(F.lit(1)).alias("records"), F.count_if("held").alias("held"), count("duplicate_key").alias("repeats"), count("no_name").alias("no_name"),
-        count("no_coordinates").alias("no_coordinates"), count("coordinates_unusable").alias("unusable"), count("not_matched").alias("unmatched"),
+        F.count(F.lit(1)).alias("records"), count(F.col("visible")).alias("held_visible"), count(F.col("approximate")).alias("held_approximate"),
+        count(F.col("held") & ~F.col("visible")).alias("held_hidden_only"), count(~F.col("held")).alias("not_held"), *[count(F.col("reason") == r).alias(r) for r in REASONS],
     )
 
 
@@ -76,7 +84,7 @@ def footnotes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """(key, undefined, unused): numbers referred to without a definition, and defined without a reference."""
     t = F.coalesce(text, F.lit(""))
     numbers = lambda pattern: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))))
-    out = docs.select(key, numbers(r"(?m)^\[\^(\d{1,6})\]:").alias("defs"), numbers(r"\[\^(\d{1,6})\](?!:)").alias("refs"))
+    out = docs.select(key, numbers(r"(?md)^\[\^(\d{1,6})\]:").alias("defs"), numbers(r"\[\^(\d{1,6})\](?!:)").alias("refs"))
     got = out.select(key, F.array_except("refs", "defs").alias("undefined"), F.array_except("defs", "refs").alias("unused"))
     return got.where("size(undefined) > 0 or size(unused) > 0")
 
@@ -91,15 +99,26 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -
     return j.where("change <> 'changed' or fields <> ''").select(key, "change", "fields")
 
 
-def tier(status: Column, verification: Column, sources: Column, links: Column) -> Column:
-    """Priority of research, 1 first."""
-    stands = status.isin("standing", "replica")
-    return (
-        F.when(verification.isin("researched", "verified"), 7)
-        .when(stands & (sources >= 3), 1)
-        .when(stands & (sources >= 2), 2)
-        .when(stands, 3)
-        .when(status.isin("ruins", "relocated"), 4)
-        .when(links > 0, 5)
-        .otherwise(6)
-    )
+#: Registers whose entries give a US lookout priority while it stands, and once it is gone.
+STANDING_REGISTERS, GONE_REGISTERS = ("NHLR",), ("NHLR", "FFLOS")
+
+
+def tier(rentable: Column, status: Column, kind: Column, country: Column, registers: Column, link_kinds: Column, approximate: Column, gone: bool = False, gone_all: bool = False) -> Column:
+    """Priority of research, 1 first, null for none: to rent, standing and registered, standing; with `gone` also registered
+    ones that moved or left ruins, and that are gone; with gone_all any that went and has an exact place, and unknown ones.
+
+    registers, link_kinds: arrays of names. Outside the US any register counts, and any link of the kind `register`.
+    """
+    empty = F.array().cast("array<string>")
+    names, kinds = F.coalesce(registers, empty), F.coalesce(link_kinds, empty)
+    foreign = (F.coalesce(country, F.lit("US")) != "US") & ((F.size(names) > 0) | F.array_contains(kinds, "register"))
+    on = lambda wanted: F.arrays_overlap(F.array_compact(names), F.array(*map(F.lit, wanted))) | foreign
+    built = ~F.coalesce(kind.isin("camp", "tree", "point"), F.lit(False))
+    moved, went = status.isin("relocated", "ruins", "replica"), status == "gone"
+    out = F.when(rentable, 1).when((status == "standing") & on(STANDING_REGISTERS), 2).when(status == "standing", 3)
+    if gone or gone_all:
+        out = out.when(built & on(GONE_REGISTERS) & moved, 4).when(built & on(GONE_REGISTERS) & went, 5)
+    if gone_all:
+        exact = built & ~F.coalesce(approximate, F.lit(False))
+        out = out.when(exact & (moved | went), 6).when(exact & (F.coalesce(status, F.lit("unknown")) == "unknown"), 7)
+    return out

@@ -1,4 +1,4 @@
-"""Joins of places: boxes, gazetteer look-ups, nearest neighbours, distance bands, redirects, dead reckoning."""
+"""Joins of places: boxes, gazetteer look-ups, nearest neighbours, distance bands, redirects."""
 
 from __future__ import annotations
 
@@ -20,17 +20,15 @@ def in_boxes(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     return p.join(b, ["cx", "cy"]).where("lat between lat0 and lat1 and lon between lon0 and lon1").select(key, "code").distinct()
 
 
-def coordinate_flag(lat: Column, lon: Column, box: Column) -> Column:
-    """Why a position can't be in its region's box STRUCT(lat0, lat1, lon0, lon1); null if it is, or there is no box."""
-    inside = lambda y, x: (y >= box.lat0) & (y <= box.lat1) & (x >= box.lon0) & (x <= box.lon1)
-    return (
-        F.when(box.isNull() | lat.isNull() | lon.isNull() | F.isnan(lat) | F.isnan(lon), None)
-        .when(inside(lat, lon), None)
-        .when(inside(lat, -lon), "lon_sign")
-        .when(inside(-lat, lon), "lat_sign")
-        .when(inside(lon, lat), "swapped")
-        .otherwise("outside")
-    )
+def coordinate_flag(lat: Column, lon: Column, boxes: Column) -> Column:
+    """Why a position can't be in its region, null if it can: boxes ARRAY<STRUCT(lat0, lat1, lon0, lon1)>, null for an unknown region.
+
+    The continent lies west of Greenwich and north of the equator, so outside the boxes a longitude above 0 or a latitude
+    below 0 is a slip of the sign, whatever the region.
+    """
+    inside = F.coalesce(F.exists(boxes, lambda b: lat.between(b.lat0, b.lat1) & lon.between(b.lon0, b.lon1)), F.lit(False))
+    known = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    return F.when(~known | inside, None).when(lon > 0, "lon_positive_sign").when(lat < 0, "lat_negative_sign").when(F.size(boxes) > 0, "outside_state_bbox")
 
 
 def within(points: DataFrame, others: DataFrame, metres: float, key: str, other_key: str) -> DataFrame:

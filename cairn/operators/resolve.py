@@ -32,9 +32,9 @@ def name_score(a: Column, b: Column) -> Column:
 def cascade(records: DataFrame, towers: DataFrame, overrides: DataFrame | None = None, held: DataFrame | None = None, apart: DataFrame | None = None) -> DataFrame:
     """(key, tower, stage): the first stage that finds a record its tower.
 
-    records(key, source, country, region, county_key, name_key, lat, lon, register), towers(tower, country, region, county_key,
-    name_key, lat, lon, approximate, register). Stages: override(key, tower); held(key, tower), the memory of earlier runs;
-    register number; position and name, the better the name the farther; name alone if it is the only one in region and county;
+    records(key, source, country, region, county_key, name_keys, lat, lon, registers), towers(tower, country, region, county_key,
+    name_key, lat, lon, approximate, registers); name_keys and registers are arrays. Stages: override(key, tower); held(key, tower), the memory of earlier runs;
+    a register number that leads to one tower; position and name, the better the name the farther; name alone if it is the only one in region and county;
     else the record is new (it has a position) or unplaced. Never across a border, never by an approximate position, never
     a pair of `apart`(key, tower). Every stage takes the records that are left, so a stage shuffles no more than it must.
     """
@@ -52,18 +52,20 @@ def cascade(records: DataFrame, towers: DataFrame, overrides: DataFrame | None =
         take(left.join(overrides, "key").join(towers.select("tower"), "tower").select("key", "tower"), "override")
     if held is not None:
         take(left.join(held, "key").join(towers.select("tower"), "tower").select("key", "tower"), "key")
-    take(left.where("register is not null").join(towers.select("tower", "register", "country"), ["register", "country"]).select("key", "tower"), "register")
+    numbers = left.select("key", "country", F.explode("registers").alias("register")).join(towers.select("tower", F.explode("registers").alias("register"), "country"), ["register", "country"]).select("key", "tower").distinct()
+    # numbers that lead to several towers settle nothing
+    take(numbers.groupBy("key").agg(F.min("tower").alias("tower"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "tower"), "register")
     widest = max(m for _, m in NAME_BY_DISTANCE)
     firm = towers.where("not coalesce(approximate, false)")
-    near = within(left, firm, widest, "key", "tower").join(left.select("key", F.col("country").alias("rc"), F.col("name_key").alias("rn")), "key").join(firm.select("tower", "country", "name_key"), "tower").where("rc = country")
-    scored = near.withColumn("score", name_score(F.col("rn"), F.col("name_key")))
+    near = within(left, firm, widest, "key", "tower").join(left.select("key", F.col("country").alias("rc"), F.col("name_keys").alias("rn")), "key").join(firm.select("tower", "country", "name_key"), "tower").where("rc = country")
+    scored = near.withColumn("score", F.coalesce(F.array_max(F.transform("rn", lambda n: name_score(n, F.col("name_key")))), F.lit(0.0)))
     fits = F.lit(False)
     for least, metres in NAME_BY_DISTANCE:
         fits = fits | ((F.col("score") >= least) & (F.col("metres") <= metres))
     best = scored.where(fits).withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "metres", "tower"))).where("_n = 1")
     take(best.select("key", "tower"), "position")
-    same = left.where("name_key <> ''").select("key", "region", "name_key", F.col("county_key").alias("rc")).join(towers.select("tower", "region", "name_key", "county_key"), ["region", "name_key"]).where("rc is null or county_key is null or rc = county_key")
-    take(same.groupBy("key").agg(F.min("tower").alias("tower"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "tower"), "name")
+    same = left.select("key", "region", F.explode("name_keys").alias("name_key"), F.col("county_key").alias("rc")).where("name_key <> ''").join(towers.select("tower", "region", "name_key", "county_key"), ["region", "name_key"]).where("rc is null or county_key is null or rc = county_key")
+    take(same.groupBy("key").agg(F.min("tower").alias("tower"), F.count_distinct("tower").alias("n")).where("n = 1").select("key", "tower"), "name")
     rest = left.select("key", F.lit(None).cast("string").alias("tower"), F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "new").otherwise("unplaced").alias("stage"))
     for o in out:
         rest = rest.unionByName(o)
@@ -71,11 +73,22 @@ def cascade(records: DataFrame, towers: DataFrame, overrides: DataFrame | None =
 
 
 def allocate_ids(new: DataFrame, prefix: Column, slug: Column, taken: DataFrame, order: list[str]) -> DataFrame:
-    """new with `id`: prefix-slug, with -2, -3 ... where it is taken or asked for more than once. taken(id)."""
-    base = F.concat_ws("-", prefix, slug)
-    used = taken.select(F.regexp_replace("id", r"-\d+$", "").alias("_base")).groupBy("_base").agg(F.count(F.lit(1)).alias("_used"))
-    n = F.row_number().over(W.partitionBy("_base").orderBy(*order)) + F.coalesce("_used", F.lit(0))
-    return new.withColumn("_base", base).join(used, "_base", "left").withColumn("_n", n).withColumn("id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))).drop("_base", "_used", "_n")
+    """new with `id`: prefix-slug, or with the smallest of -2, -3 ... that is free. taken(id).
+
+    Rows that ask for one id get their numbers in the given order, skipping taken ones; an id that another row asks for as it
+    is counts as taken, so no id is given twice. The numbers taken of one id are a list, as long as there are namesakes.
+    """
+    asked = new.withColumn("_base", F.concat_ws("-", prefix, slug))
+    bases = asked.select("_base").distinct()
+    every = taken.select(F.col("id").alias("t"), F.lit(1).alias("own")).union(bases.select("_base", F.lit(0)))
+    number = F.regexp_extract("t", r"-(\d{1,9})$", 1)
+    # an id is its own first; and the n-th of what stands before its number
+    numbered = every.where((number != "") & ~number.startswith("0") & (number != "1")).select(F.regexp_replace("t", r"-\d+$", "").alias("_base"), number.cast("int").alias("n"))
+    held = numbered.union(every.where("own = 1").select("t", F.lit(1))).join(bases, "_base", "left_semi").groupBy("_base").agg(F.array_sort(F.collect_set("n")).alias("_held"))
+    place = F.row_number().over(W.partitionBy("_base").orderBy(*order))
+    free = F.aggregate(F.coalesce("_held", F.array().cast("array<int>")), F.col("_place"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    out = asked.withColumn("_place", place).join(held, "_base", "left").withColumn("_n", free)
+    return out.withColumn("id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n").cast("string")))).drop("_base", "_held", "_place", "_n")
 
 
 def merge_fields(members: DataFrame, group: str, fields: list[str], rank: str) -> DataFrame:

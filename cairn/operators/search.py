@@ -32,4 +32,6 @@ def score(query: Column, names: Column, words: Column) -> Column:
 def search(features: DataFrame, query: str, most: int = 30) -> DataFrame:
     """(i, n, r, score) of the best: by score, length of the name, name, then id. A limit is the feature here."""
     hit = index(features).withColumn("score", score(F.lit(query), F.col("names"), F.col("words"))).where("score is not null")
-    return hit.dropDuplicates(["i"]).orderBy("score", F.length("n"), "n", "i").limit(most).select("i", "n", "r", "score")
+    # of a tower's builds the one that ranks first
+    best = hit.groupBy("i").agg(F.min(F.struct("score", F.length("n").alias("l"), "n", "r")).alias("b")).select("i", "b.n", "b.r", "b.score")
+    return best.orderBy("score", F.length("n"), "n", "i").limit(most)

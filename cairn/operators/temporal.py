@@ -8,48 +8,55 @@ from pyspark.sql.window import Window as W
 
 from cairn.vocab import BUILD_EVENTS, END_EVENTS, FIRST_YEAR, START_EVENTS, THIS_YEAR
 
-STATES = ("standing", "gone", "not_yet", "maybe", "unknown")
+#: stood: the records place it there; built: its end isn't recorded; nostart: its beginning isn't; nodates: neither is; no: not there.
+MAYBE = ("built", "nostart", "nodates")
+SEEN = ("stood", *MAYBE)
 STANDS_TODAY = ("standing", "replica")
 
 
 def year_state(year: Column, status: Column, y0: Column, y1: Column, now: int = THIS_YEAR) -> Column:
-    """standing, gone, not_yet, maybe or unknown in a year. From this year on, today's status tells."""
-    stands = F.coalesce(status, F.lit("unknown")).isin(*STANDS_TODAY)
-    return (
-        F.when(year >= now, F.when(stands, "standing").when(status.isin("gone", "ruins", "relocated"), "gone").otherwise("unknown"))
-        .when(y0.isNull(), F.when(y1.isNotNull() & (year >= y1), "gone").otherwise("unknown"))
-        .when(year < y0, "not_yet")
-        .when(y1.isNotNull(), F.when(year >= y1, "gone").otherwise("standing"))
-        .when(stands, "standing")
-        .otherwise("maybe")
+    """stood, built, nostart, nodates or no in a year. From this year on, today's status tells; a null status is an unknown one."""
+    status = F.coalesce(status, F.lit("unknown"))
+    stands = status.isin(*STANDS_TODAY)
+    today = F.when(stands, "stood").when((status != "unknown") | y1.isNotNull(), "no").when(y0.isNull(), "nodates").otherwise("built")
+    ended = stands | y1.isNotNull()
+    then = (
+        F.when(F.coalesce((y0 > year) | (y1 <= year), y0 > year, y1 <= year, F.lit(False)), "no")
+        .when(ended, F.when(y0.isNotNull(), "stood").otherwise("nostart"))
+        .otherwise(F.when(y0.isNotNull(), "built").otherwise("nodates"))
     )
+    return F.when(year >= now, today).otherwise(then)
+
+
+def _counted(states: Column, weight: Column) -> list[Column]:
+    """A sum for each state and their total, the most that could have stood."""
+    each = [F.coalesce(F.sum(F.when(states == s, weight)), F.lit(0)).cast("bigint").alias(s) for s in SEEN]
+    return [*each, F.coalesce(F.sum(F.when(states.isin(*SEEN), weight)), F.lit(0)).cast("bigint").alias("upper")]
 
 
 def year_counts(features: DataFrame, year: int, now: int = THIS_YEAR) -> DataFrame:
-    """(state, n) in one year."""
-    return features.select(year_state(F.lit(year), F.col("s"), F.col("y0"), F.col("y1"), now).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    """(year, stood, built, nostart, nodates, upper) in one year; one row, of zeros for no features."""
+    at = features.select(year_state(F.lit(year), F.col("s"), F.col("y0"), F.col("y1"), now).alias("state"))
+    return at.agg(*_counted(F.col("state"), F.lit(1))).select(F.lit(year).alias("year"), *SEEN, "upper")
 
 
 def year_series(features: DataFrame, first: int, last: int, now: int = THIS_YEAR) -> DataFrame:
-    """(year, state, n) of every year and state: one pass of differences instead of a count for each year.
+    """year_counts of every year: one pass of differences instead of a count for each year.
 
-    Every feature changes its state at most three times; +1 and -1 at those years are summed by year and state, which
-    leaves a table whose size doesn't follow the features, and that one is summed up along the years.
+    Every feature changes its state at most three times; +1 and -1 at those years are summed by year, which leaves a table
+    whose size doesn't follow the features, and that one is summed up along the years.
     """
     at = lambda y: year_state(y, F.col("s"), F.col("y0"), F.col("y1"), now)
     clip = lambda y: F.least(F.greatest(y, F.lit(first)), F.lit(last + 1))
     known = [F.lit(first), F.when(F.col("y0").isNotNull(), clip(F.col("y0"))), F.when(F.col("y1").isNotNull(), clip(F.col("y1"))), clip(F.lit(now))]
     turns = F.array_distinct(F.array_compact(F.array(*known)))
     steps = F.transform(turns, lambda y: F.struct(y.alias("year"), at(y).alias("state"), F.when(y > first, at(y - 1)).alias("before")))
-    ends = features.select("s", "y0", "y1").select(F.inline(steps))
-    gains = ends.where(f"year <= {last}").select("year", "state", F.lit(1).alias("d"))
-    losses = ends.where(f"before is not null and year <= {last}").select("year", F.col("before").alias("state"), F.lit(-1).alias("d"))
-    deltas = gains.union(losses).groupBy("year", "state").agg(F.sum("d").alias("d"))
-    spark = features.sparkSession
-    calendar = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"), F.explode(F.array(*map(F.lit, STATES))).alias("state"))
-    dense = calendar.join(deltas, ["year", "state"], "left")
-    run = W.partitionBy("state").orderBy("year").rowsBetween(W.unboundedPreceding, 0)
-    return dense.select("year", "state", F.coalesce(F.sum("d").over(run), F.lit(0)).cast("bigint").alias("n"))
+    ends = features.select("s", "y0", "y1").select(F.inline(steps)).where(f"year <= {last}")
+    deltas = ends.select("year", F.inline(F.array(F.struct(F.col("state").alias("state"), F.lit(1).alias("d")), F.struct(F.col("before").alias("state"), F.lit(-1).alias("d")))))
+    summed = deltas.groupBy("year").agg(*_counted(F.col("state"), F.col("d")))
+    calendar = features.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    run = W.orderBy("year").rowsBetween(W.unboundedPreceding, 0)  # one row for each year
+    return calendar.join(summed, "year", "left").select("year", *[F.coalesce(F.sum(c).over(run), F.lit(0)).cast("bigint").alias(c) for c in (*SEEN, "upper")])
 
 
 def plausible(year: Column, now: int = THIS_YEAR) -> Column:

@@ -56,18 +56,26 @@ def unmatched_counties(spark: SparkSession, sf: str) -> DataFrame:
     return r.join(c, ["region", "ck"], "left_anti").groupBy("region", "ck").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of the regions with their countries."""
+    b = table(spark, sf, "region_polygon").select(F.col("code").alias("region"), F.col("y0").alias("lat0"), F.col("y1").alias("lat1"), F.col("x0").alias("lon0"), F.col("x1").alias("lon1"))
+    return b.join(table(spark, sf, "county").select("region", "country").distinct(), "region")
+
+
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
-    held = table(spark, sf, "source_record").where("status = 'standing'").select("rec_key")
-    return audit.coverage(_r(spark, sf).select("record_id", "source", "rec_key", "name", "region", "lat", "lon"), held)
+    """Records against those of towers and ground cabs as what entities hold: hidden when gone, approximate without a position."""
+    held = _r(spark, sf).where("kind in ('tower', 'ground')").select("rec_key", (F.col("status") == "gone").alias("hidden"), F.col("lat").isNull().alias("approximate"))
+    return audit.coverage(_r(spark, sf).select("record_id", "source", "rec_key", "name", "country", "region", "lat", "lon"), held, _boxes(spark, sf))
 
 
 def audit_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """V-06, A-01, J-03"""
     return audit.coverage_report(_audited(spark, sf))
 
 
 def not_held(spark: SparkSession, sf: str) -> DataFrame:
-    """O-02"""
-    return _audited(spark, sf).where("not held").select("source", F.coalesce("region", F.lit("")).alias("region"), "record_id", "reason")
+    """O-02: sorted by source, region, name and key."""
+    return _audited(spark, sf).where("not held").select("source", F.coalesce("region", F.lit("")).alias("region"), F.coalesce("name", F.lit("")).alias("name"), "rec_key", "record_id", "reason").orderBy("source", "region", "name", "rec_key", "record_id")
 
 
 def validate_towers(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,16 +98,24 @@ def snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
     return audit.snapshot_diff(last(f.where("built_at < timestamp_ntz'2024-01-01'")), last(f.where("built_at >= timestamp_ntz'2024-01-01'")), "i", ["s", "v", "b"])
 
 
+def _tiered(rows: DataFrame) -> DataFrame:
+    registers, kinds = F.transform("registers", lambda x: x.register), F.transform("links", lambda x: x.kind)
+    t = audit.tier(F.coalesce("rental.available", F.lit(False)), F.col("status"), F.col("kind"), F.col("country"), registers, kinds, F.col("lat").isNull(), gone_all=True)
+    return rows.withColumn("tier", t)
+
+
 def research_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """R-03, O-03: features by tier, then by how many builds know them."""
-    f = table(spark, sf, "map_feature").groupBy("i").agg(F.max("s").alias("s"), F.max("v").alias("v"), F.count_distinct("built_at").alias("builds"), F.max(F.size(F.split(F.coalesce("o", F.lit("")), r"\|"))).alias("links"))
-    return f.select("i", audit.tier(F.col("s"), F.col("v"), F.col("builds"), F.col("links")).alias("tier"), "builds", "links")
+    """R-03, R-04, O-03: keys by tier, then most deliveries, most links, key; without those that have been restored, as what is researched already."""
+    last = F.max_by(F.struct("rental", "status", "kind", "country", "registers", "links", "lat", "events"), "record_id").alias("x")
+    keys = _r(spark, sf).where("rec_key is not null").groupBy("rec_key").agg(last, F.count(F.lit(1)).alias("sources")).select("rec_key", "sources", "x.*")
+    done = keys.where(F.exists("events", lambda e: e.event == "restored")).select("rec_key")
+    queue = _tiered(keys).join(done, "rec_key", "left_anti").where("tier is not null")
+    return queue.select("tier", "sources", F.coalesce(F.size("links"), F.lit(0)).alias("n_links"), "rec_key").orderBy("tier", F.desc("sources"), F.desc("n_links"), "rec_key")
 
 
 def tier_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """A-15"""
-    f = table(spark, sf, "map_feature").select(F.coalesce("cc", F.lit("US")).alias("country"), F.col("r").alias("region"), audit.tier(F.col("s"), F.col("v"), F.coalesce("rg", F.lit(0)), F.coalesce("rt", F.lit(0))).alias("tier"))
-    return f.rollup("country", "region", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return _tiered(_r(spark, sf)).rollup("country", "region", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repeat_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,10 +160,10 @@ def box_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coordinate_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """P-11"""
-    b = table(spark, sf, "region_polygon").groupBy("code").agg(F.struct(F.min("y0").alias("lat0"), F.max("y1").alias("lat1"), F.min("x0").alias("lon0"), F.max("x1").alias("lon1")).alias("box"))
-    r = _r(spark, sf).join(b, F.col("region") == F.col("code"), "left")
-    return r.select("record_id", places.coordinate_flag(F.col("lat"), F.col("lon"), F.col("box")).alias("flag")).where("flag is not null")
+    """P-11, M-14"""
+    b = _boxes(spark, sf).groupBy(F.col("region").alias("code")).agg(F.collect_list(F.struct("lat0", "lat1", "lon0", "lon1")).alias("boxes"))
+    r = _r(spark, sf).join(F.broadcast(b), F.col("region") == F.col("code"), "left")  # a row for each region
+    return r.select("record_id", places.coordinate_flag(F.col("lat"), F.col("lon"), F.col("boxes")).alias("flag")).where("flag is not null")
 
 
 def gazetteer_look_up(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,11 +195,14 @@ def greedy_collapse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """J-21: the cascade's stages over all record keys, against the towers."""
-    best = _r(spark, sf).where("rec_key is not null").groupBy(F.col("rec_key").alias("key")).agg(F.max_by(F.struct("source", "country", "region", "county", "name", "registers"), "record_id").alias("x"), F.min(F.when(F.expr(_US), F.struct("lat", "lon"))).alias("p"))
-    number = F.get(F.filter("x.registers", lambda y: y.isNotNull()), F.lit(0))["number"]
-    rec = best.select("key", "x.source", "x.country", "x.region", F.regexp_replace(F.lower("x.county"), "[^a-z]", "").alias("county_key"), F.coalesce(resolve.name_key(F.col("x.name")), F.lit("")).alias("name_key"), "p.lat", "p.lon", number.alias("register"))
-    tow = _t(spark, sf).select(F.col("id").alias("tower"), "country", "region", F.regexp_replace(F.lower("county"), "[^a-z]", "").alias("county_key"), resolve.name_key(F.col("name")).alias("name_key"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"), F.col("location.approximate").alias("approximate"), F.lit(None).cast("string").alias("register"))
+    """J-21: the cascade's stages over all record keys, against the towers; every delivery's names and register numbers count."""
+    number = F.explode_outer(F.array_compact(F.transform("registers", lambda y: y.number))).alias("number")
+    flat = _r(spark, sf).where("rec_key is not null").select(F.col("rec_key").alias("key"), "record_id", "source", "country", "region", _key("county").alias("county_key"), resolve.name_key(F.col("name")).alias("name_key"), F.when(F.expr(_US), F.struct("lat", "lon")).alias("p"), number)
+    rec = flat.groupBy("key").agg(
+        F.max_by(F.struct("source", "country", "region", "county_key"), "record_id").alias("x"), F.min("p").alias("p"),
+        F.array_sort(F.collect_set(F.nullif("name_key", F.lit("")))).alias("name_keys"), F.array_sort(F.collect_set("number")).alias("registers"),
+    ).select("key", "x.*", "name_keys", "p.lat", "p.lon", "registers")
+    tow = _t(spark, sf).select(F.col("id").alias("tower"), "country", "region", _key("county").alias("county_key"), resolve.name_key(F.col("name")).alias("name_key"), F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"), F.col("location.approximate").alias("approximate"), F.array().cast("array<string>").alias("registers"))
     return resolve.cascade(rec, tow)
 
 
@@ -276,10 +295,16 @@ _SLUG = "trim(regexp_replace(regexp_replace(replace(replace(lower(strip_accents(
 _KEY = "regexp_replace(lower(strip_accents({0})), '[^a-z]', '', 'g')"
 _DIST = "2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
 _P = "p as (select id, location.lat as lat, location.lon as lon, status, coalesce(location.approximate, false) as ap from tower where location.lat is not null and location.lon is not null)"
-_AUD = """h as (select distinct rec_key from source_record where status = 'standing'), a as (select record_id, source, rec_key, name, region, lat, lon, rec_key in (select rec_key from h where rec_key is not null) as held,
- row_number() over (partition by source, rec_key order by record_id) as n from source_record), b as (select *, case when held then null when n > 1 then 'duplicate_key' when coalesce(trim(name), '') = '' then 'no_name' when lat is null or lon is null then 'no_coordinates'
- when isnan(lat) or isnan(lon) or abs(lat) > 90 or abs(lon) > 180 or (lat = 0 and lon = 0) then 'coordinates_unusable' else 'not_matched' end as reason from a)"""
-_TIER = "case when {v} in ('researched', 'verified') then 7 when {s} in ('standing', 'replica') and {n} >= 3 then 1 when {s} in ('standing', 'replica') and {n} >= 2 then 2 when {s} in ('standing', 'replica') then 3 when {s} in ('ruins', 'relocated') then 4 when {l} > 0 then 5 else 6 end"
+_BOX = "bx as (select region, country, y0 as a0, y1 as a1, x0 as o0, x1 as o1 from region_polygon join (select distinct region, country from county) on code = region)"
+_AUD = f"""{_BOX}, h as (select rec_key, bool_or(not coalesce(status = 'gone', false)) as vis, bool_or(not coalesce(status = 'gone', false) and lat is null) as apx from source_record where kind in ('tower', 'ground') and rec_key is not null group by 1),
+ a as (select r.*, h.rec_key is not null as held, coalesce(vis, false) as visible, coalesce(apx, false) as approximate, row_number() over (partition by source, r.rec_key order by record_id) as n,
+  coalesce({_US} and exists (select 1 from bx where bx.country = r.country and lat between a0 and a1 and lon between o0 and o1), false) as inside from source_record r left join h on r.rec_key = h.rec_key where r.rec_key <> ''),
+ b as (select *, case when held then null when n > 1 then 'duplicate_key' when inside then 'unmatched' when lat is not null and lon is not null then 'coordinates_outside_country' else 'no_coordinates' end as reason from a)"""
+_ON = "(len(list_filter(coalesce(registers, []), lambda x: x.register in ({0}))) > 0 or (coalesce(country, 'US') <> 'US' and (len(coalesce(registers, [])) > 0 or len(list_filter(coalesce(links, []), lambda x: x.kind = 'register')) > 0)))"
+_BUILT = "coalesce(kind not in ('camp', 'tree', 'point'), true)"
+_TIER = f"""case when coalesce(rental.available, false) then 1 when status = 'standing' and {_ON.format("'NHLR'")} then 2 when status = 'standing' then 3
+ when {_BUILT} and {_ON.format("'NHLR', 'FFLOS'")} and status in ('relocated', 'ruins', 'replica') then 4 when {_BUILT} and {_ON.format("'NHLR', 'FFLOS'")} and status = 'gone' then 5
+ when {_BUILT} and lat is not null and status in ('relocated', 'ruins', 'replica', 'gone') then 6 when {_BUILT} and lat is not null and coalesce(status, 'unknown') = 'unknown' then 7 end"""
 _RULES = {
     "id is malformed": ("error", "not regexp_matches(id, '^(us|ca)-[a-z]{2}-[a-z0-9-]+$')"), "id and region differ": ("error", "upper(string_split(id, '-')[2]) <> region"), "name is missing": ("error", "coalesce(trim(name), '') = ''"),
     "status is unknown to the vocabulary": ("error", f"status not in {STATUSES}"), "kind is unknown to the vocabulary": ("error", f"kind not in {KINDS}"), "latitude without longitude": ("error", "(location.lat is null) <> (location.lon is null)"),
@@ -293,16 +318,19 @@ ORACLE = {
     "activity_semi_join": "select record_id, source from source_record where len(list_filter(events, lambda x: x.event = 'restored')) > 0",
     "dangling_towers": "select doc_id, tower_id from documents where tower_id is not null and tower_id not in (select id from tower)",
     "unmatched_counties": f"select region, {_KEY.format('county')} as ck, count(*) as n from source_record r where county is not null and not exists (select 1 from county c where c.region = r.region and {_KEY.format('c.name')} = {_KEY.format('r.county')}) group by 1, 2",
-    "audit_coverage": f"with {_AUD} select source, count(*) as records, count_if(held) as held, count_if(coalesce(reason, '') = 'duplicate_key') as repeats, count_if(coalesce(reason, '') = 'no_name') as no_name, count_if(coalesce(reason, '') = 'no_coordinates') as no_coordinates, count_if(coalesce(reason, '') = 'coordinates_unusable') as unusable, count_if(coalesce(reason, '') = 'not_matched') as unmatched from b group by rollup(source)",
-    "not_held": f"with {_AUD} select source, coalesce(region, '') as region, record_id, reason from b where not held",
+    "audit_coverage": f"with {_AUD} select source, count(*) as records, count_if(visible) as held_visible, count_if(approximate) as held_approximate, count_if(held and not visible) as held_hidden_only, count_if(not held) as not_held, "
+    + ", ".join(f"count_if(coalesce(reason, '') = '{r}') as {r}" for r in audit.REASONS)
+    + " from b group by rollup(source)",
+    "not_held": f"with {_AUD} select source, coalesce(region, '') as region, coalesce(name, '') as name, rec_key, record_id, reason from b where not held",
     "validate_towers": " union all ".join(f"select id, '{lv}' as level, '{m}' as message from tower where {c}" for m, (lv, c) in _RULES.items()),
     "duplicate_names": f"select region, {_FOLD.format('name')} as name_key, count(*) as n from tower group by 1, 2 having count(*) > 1",
     "snapshot_changes": """with f as (select *, built_at < timestamp '2024-01-01' as old from map_feature), l as (select old, i, s, v, b from f qualify row_number() over (partition by old, i order by built_at desc, feature_id desc) = 1),
  j as (select i, o.i is null as added, n.i is null as removed, concat_ws(',', case when o.s is distinct from n.s then 's' end, case when o.v is distinct from n.v then 'v' end, case when o.b is distinct from n.b then 'b' end) as d
   from (select * from l where old) o full join (select * from l where not old) n using (i))
  select i, case when added then 'added' when removed then 'removed' else 'changed' end as change, case when added or removed then '' else d end as fields from j where added or removed or d <> ''""",
-    "research_queue": f"with f as (select i, max(s) as s, max(v) as v, count(distinct built_at) as builds, max(len(string_split(coalesce(o, ''), '|'))) as links from map_feature group by i) select i, {_TIER.format(v='v', s='s', n='builds', l='links')} as tier, builds, links from f",
-    "tier_rollup": f"with f as (select coalesce(cc, 'US') as country, r as region, {_TIER.format(v='v', s='s', n='coalesce(rg, 0)', l='coalesce(rt, 0)')} as tier from map_feature) select country, region, tier, count(*) as n from f group by rollup(country, region, tier)",
+    "research_queue": f"""with l as (select *, count(*) over (partition by rec_key) as sources from source_record where rec_key is not null qualify row_number() over (partition by rec_key order by record_id desc) = 1)
+ select {_TIER} as tier, sources, coalesce(len(links), 0) as n_links, rec_key from l where {_TIER} is not null and len(list_filter(coalesce(events, []), lambda x: x.event = 'restored')) = 0""",
+    "tier_rollup": f"select country, region, tier, count(*) as n from (select country, region, {_TIER} as tier from source_record) group by rollup(country, region, tier)",
     "repeat_keys": "select record_id, case when n > 0 then rec_key || ':' || n else rec_key end as numbered from (select record_id, rec_key, row_number() over (partition by rec_key order by record_id) - 1 as n from source_record)",
     "reprint_dedupe": "select first(doc_id order by coalesce(loaded_at, timestamp '9999-01-01'), doc_id) as doc_id, count(*) as copies from documents where text is not null group by text",
     "heading_fill": "select record_id, source, region, last_value(registers[1].number ignore nulls) over (partition by source, region order by record_id rows between unbounded preceding and current row) as heading from source_record",
@@ -310,9 +338,8 @@ ORACLE = {
     "nearest_towers": f"with {_P}, d as (select a.id, b.id as other, {_DIST.format(a='a.lat', b='a.lon', c='b.lat', d='b.lon')} as m from p a join p b on abs(a.lat - b.lat) < 0.5) select id, other, round(m, 3) as metres, row_number() over (partition by id order by m, other) as place from d where m > 200 and m <= 30000 qualify place <= 4",
     "band_partners": f"with {_P}, q as (select * from p where status = 'standing' and not ap), d as (select a.id, {_DIST.format(a='a.lat', b='a.lon', c='b.lat', d='b.lon')} as m from q a join q b on a.id <> b.id and abs(a.lat - b.lat) < 0.5) select id, count(*) as partners from d where m between 12000 and 32000 group by id having count(*) >= 2",
     "box_join": f"with {_P} select distinct id, code from p join region_polygon on lat between y0 and y1 and lon between x0 and x1",
-    "coordinate_flags": """with b as (select code, min(y0) as a0, max(y1) as a1, min(x0) as o0, max(x1) as o1 from region_polygon group by code),
- f as (select record_id, case when lat is null or lon is null or isnan(lat) or isnan(lon) or (lat between a0 and a1 and lon between o0 and o1) then null when lat between a0 and a1 and -lon between o0 and o1 then 'lon_sign' when -lat between a0 and a1 and lon between o0 and o1 then 'lat_sign'
-  when lon between a0 and a1 and lat between o0 and o1 then 'swapped' else 'outside' end as flag from source_record join b on region = code) select * from f where flag is not null""",
+    "coordinate_flags": f"""with {_BOX}, f as (select record_id, case when lat is null or lon is null or isnan(lat) or isnan(lon) or exists (select 1 from bx where bx.region = r.region and lat between a0 and a1 and lon between o0 and o1) then null
+ when lon > 0 then 'lon_positive_sign' when lat < 0 then 'lat_negative_sign' when region in (select region from bx) then 'outside_state_bbox' end as flag from source_record r) select * from f where flag is not null""",
     "gazetteer_look_up": f"""with g as (select id as place_id, region, {_KEY.format('county')} as ck, {_KEY.format('name')} as nk from tower where location.lat is not null),
  r as (select record_id, region, {_KEY.format('county')} as ck, coalesce({_KEY.format('name')}, '') as nk from source_record where lat is null or lon is null),
  h as (select record_id, r.nk, r.ck, count(place_id) as n, min(place_id) as p, bool_or(exists (select 1 from g g2 where g2.region = r.region and g2.ck = r.ck)) as known from r left join g on r.region = g.region and r.nk = g.nk and (r.ck is null or r.ck = g.ck) group by 1, 2, 3),
@@ -322,8 +349,16 @@ ORACLE = {
     "merged_fields": "with m as (select rec_key, " + ", ".join(f"first({f} order by record_id) filter ({f} is not null) as {f}, case when count(distinct {f}) > 1 then '{f}' end as c_{f}" for f in ("kind", "status", "built", "agency", "county")) + " from source_record where rec_key is not null group by rec_key) select rec_key, kind, status, built, agency, county, concat_ws(',', c_kind, c_status, c_built, c_agency, c_county) as conflicts from m",
     "lineage_verification": f"with m as (select concat_ws('|', region, {_FOLD.format('name')}) as g, source, lat is null as ap from source_record where name is not null) select g, count(distinct source) as lineages, case when bool_or(ap) then 'unverified' when count(distinct source) >= 2 then 'facts' else 'unverified' end as verification from m group by g",
     "allocated_ids": f"""with n as (select record_id, lower(country) || '-' || lower(region) || '-' || {_SLUG.format('name')} as base from source_record where name is not null and region is not null and country is not null),
- u as (select regexp_replace(id, '-\\d+$', '') as base, count(*) as used from tower group by 1), k as (select record_id, base, row_number() over (partition by base order by record_id) + coalesce(used, 0) as k from n left join u using (base))
- select record_id, case when k = 1 then base else base || '-' || k end as id from k""",
+ k as (select record_id, base, row_number() over (partition by base order by record_id) as k from n), t as (select id as t, true as own from tower union all select distinct base, false from n),
+ h as (select regexp_replace(t, '-\\d+$', '') as base, regexp_extract(t, '-(\\d+)$', 1)::int as num from t where regexp_matches(t, '-([2-9]|[1-9]\\d{{1,8}})$') union select t, 1 from t where own),
+ c as (select base, max(k.k) + (select count(*) from h where h.base = k.base) as most from k group by base), r as (select base, unnest(range(1, most + 1)) as num from c),
+ f as (select base, num, row_number() over (partition by base order by num) as k from r where not exists (select 1 from h where h.base = r.base and h.num = r.num))
+ select record_id, case when num = 1 then base else base || '-' || num end as id from k join f using (base, k)""",
+    "story_footnotes": r"""with d as (select doc_id, text from documents where text is not null), f as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '(?m)^\[\^(\d{1,6})\]:', 1), lambda x: x::int)) as defs,
+ list_distinct(list_transform(regexp_extract_all(replace(text, '[^', ' [^') || ' ', '\[\^(\d{1,6})\][^:]', 1), lambda x: x::int)) as refs from d),
+ o as (select doc_id, list_sort(list_filter(refs, lambda x: not list_contains(defs, x))) as u, list_sort(list_filter(defs, lambda x: not list_contains(refs, x))) as n from f)
+ select doc_id, array_to_string(u, ',') as undefined, array_to_string(n, ',') as unused from o where len(u) > 0 or len(n) > 0""",
+    "sentence_count": r"select doc_id, case when text = '' then 0 else 1 + len(regexp_extract_all(text, '[.!?][\t\n\x0B\f\r ]+[A-Z0-9]')) end as sentences from documents where text is not null",
     "set_operations": "(select rec_key from source_record where status = 'standing' union select rec_key from source_record where rental is not null) except select rec_key from source_record where kind = 'unknown'",
     "second_without_first": f"select distinct region, {_FOLD.format('name')} as k from source_record where source in ('openpins', 'oldreg') and name is not null and region is not null",
     "text_lines_context": "with d as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, string_split(text, chr(10)) as l from documents where text is not null) select doc_id, (i - 1)::int as line from d where coalesce(contains(l[i], 'lightning') or contains(l[i + 1], 'lightning') or (i > 1 and contains(l[i - 1], 'lightning')), false) or contains(l[i], 'lightning') or (i > 1 and contains(l[i - 1], 'lightning'))",

@@ -19,28 +19,52 @@ _IDS = "feature_id"
 
 
 def filter_conjunction(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.apply(_f(spark, sf), filters.parse(QUERY)).select("feature_id", "i", "k", "s", "r")
+    """P-01, P-02"""
+    return filters.apply(_f(spark, sf), filters.parse(QUERY).filters).select("feature_id", "i", "k", "s", "r")
 
 
 def filter_empty_set(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.apply(_f(spark, sf), filters.parse("status=none")).select("feature_id")
+    return filters.apply(_f(spark, sf), filters.parse("status=none").filters).select("feature_id")
 
 
 def filter_region_registered(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.apply(_f(spark, sf), filters.parse("state=TR&country=CA&registered=1&sites=1&exact=1")).select("feature_id", "k")
+    return filters.apply(_f(spark, sf), filters.parse("state=TR&country=CA&reg=1&ns=1&ap=0").filters).select("feature_id", "k")
 
 
 def filter_design(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.apply(_f(spark, sf), filters.parse("design=D-6&sites=1")).select("feature_id", "d")
+    """P-07"""
+    return filters.apply(_f(spark, sf), filters.Filters(design="D-6", no_structure=True)).select("feature_id", "d")
+
+
+def _marks(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of marks: old towers visited, some of them stayed at, those to rent wanted."""
+    f = _f(spark, sf)
+    mark = F.array_compact(F.array(F.when(F.col("b") < 1930, "visited"), F.when(F.col("b") < 1910, "stayed"), F.when(F.col("rt") == 1, "want")))
+    return f.select(F.col("i").alias("id"), F.explode(mark).alias("mark"))
+
+
+def filter_mine(spark: SparkSession, sf: str) -> DataFrame:
+    """P-01's checklist term, U-11"""
+    return filters.apply(_f(spark, sf), filters.parse("mine=stayed,want,bogus&ns=1").filters, _marks(spark, sf)).select("feature_id", "i")
+
+
+def mark_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A-14: towers with each mark, and with any."""
+    return _marks(spark, sf).rollup("mark").agg(F.count_distinct("id").alias("towers"))
 
 
 def facet_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.facet_counts(_f(spark, sf), filters.parse(QUERY))
+    """A-02"""
+    return filters.facet_counts(_f(spark, sf), filters.parse(QUERY).filters)
+
+
+LINKS = ("status=gone,standing", "kind=none&state=or", "country=CA&rent=1", "state=WA&country=US&yr=1933&yrm=1", "bogus=1&status=zzz", "vs=us-or-b,us-or-a,us-or-b,x&vr=60&ap=0", "at=7.256/45.5/-120.12345&t=us-or-warner-mountain&base=old&op=50&era=newest", "mine=want,visited&ver=verified&mat=log&design=l4&reg=1&ns=1", "at=99/0/0&yr=1700&op=5&base=x&vr=30")
 
 
 def query_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    given = ["status=gone,standing", "kind=none&state=OR", "country=CA&rentable=1", "state=WA&country=US&year=1933", "bogus=1&status=zzz", "view=b,a,b&exact=1"]
-    return spark.createDataFrame([(q, filters.serialize(filters.parse(q)), filters.active_count(filters.parse(q))) for q in given], "query string, canonical string, active int")
+    """P-03, P-05, P-06"""
+    states = [(q, filters.parse(q)) for q in LINKS]
+    return spark.createDataFrame([(q, filters.serialize(s), filters.active_count(s.filters)) for q, s in states], "query string, canonical string, active int")
 
 
 def year_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,14 +124,15 @@ def source_words(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "word"))).where("place <= 5")
 
 
-QUERIES = {f.__name__: f for f in (filter_conjunction, filter_empty_set, filter_region_registered, filter_design, facet_counts, query_round_trip, year_counts, year_series, year_ranges, event_gaps, timeline_segments, history_counts, meta_counts, name_search, name_search_words, first_built, rentable, source_words)}
+QUERIES = {f.__name__: f for f in (filter_conjunction, filter_empty_set, filter_region_registered, filter_design, filter_mine, mark_counts, facet_counts, query_round_trip, year_counts, year_series, year_ranges, event_gaps, timeline_segments, history_counts, meta_counts, name_search, name_search_words, first_built, rentable, source_words)}
 
-_STATE = """case when {y} >= 2026 then case when coalesce(s, 'unknown') in ('standing', 'replica') then 'standing' when s in ('gone', 'ruins', 'relocated') then 'gone' else 'unknown' end
- when y0 is null then case when y1 is not null and {y} >= y1 then 'gone' else 'unknown' end
- when {y} < y0 then 'not_yet' when y1 is not null then case when {y} >= y1 then 'gone' else 'standing' end
- when coalesce(s, 'unknown') in ('standing', 'replica') then 'standing' else 'maybe' end"""
-_S, _K, _C = "s in ('standing', 'ruins')", "(k in ('tower', 'ground', 'enclosed_tower') or k in ('camp', 'point'))", "coalesce(cc, 'US') = 'US'"
-_ST = "coalesce(k, '') not in ('camp', 'point')"
+_STATE = """case when {y} >= 2026 then case when st in ('standing', 'replica') then 'stood' when st <> 'unknown' or y1 is not null then 'no' when y0 is null then 'nodates' else 'built' end
+ when y0 > {y} or y1 <= {y} then 'no' when st in ('standing', 'replica') or y1 is not null then case when y0 is not null then 'stood' else 'nostart' end when y0 is not null then 'built' else 'nodates' end"""
+_YEARS = "count_if(state = 'stood') as stood, count_if(state = 'built') as built, count_if(state = 'nostart') as nostart, count_if(state = 'nodates') as nodates, count_if(state <> 'no') as upper"
+_S, _K = "s in ('standing', 'ruins')", "k in ('tower', 'ground', 'enclosed_tower')"
+_C = "coalesce(cc, case when r in ('AB', 'BC', 'MB', 'NB', 'NL', 'NS', 'NT', 'NU', 'ON', 'PE', 'QC', 'SK', 'YT') then 'CA' end, 'US') = 'US'"
+_ST = "coalesce(k, '') not in ('camp', 'tree', 'point')"
+_MARKS = "m as (select i as id, unnest(list_filter([case when b < 1930 then 'visited' end, case when b < 1910 then 'stayed' end, case when rt = 1 then 'want' end], lambda x: x is not null)) as mark from map_feature)"
 _NORMAL = "trim(regexp_replace(lower(strip_accents({x})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
@@ -117,12 +142,12 @@ def _search(q: str) -> str:
     tokens = " and ".join(f"len(list_filter(words, lambda w: starts_with(w, '{t}'))) > 0" for t in q.split())
     return f"""with ix as (select i, n, r, {names} as names from map_feature), iw as (select *, {words} as words from ix),
  sc as (select i, n, r, case when len(list_filter(names, lambda x: starts_with(x, '{q}'))) > 0 then 0 when {tokens} then 1 when len(list_filter(names, lambda x: contains(x, '{q}'))) > 0 then 2 end as score from iw),
- one as (select distinct on (i) * from sc where score is not null order by i)
+ one as (select distinct on (i) * from sc where score is not null order by i, score, length(n), n, r)
  select i, n, r, score from one order by score, length(n), n, i limit 30"""
 
 
 ORACLE = {
-    "filter_conjunction": f"select feature_id, i, k, s, r from map_feature where {_S} and {_K} and {_ST} and {_C}",
+    "filter_conjunction": f"select feature_id, i, k, s, r from map_feature where {_S} and {_K} and {_C}",
     "filter_empty_set": "select feature_id from map_feature where false",
     "filter_region_registered": "select feature_id, k from map_feature where r = 'TR' and rg = 1 and coalesce(ap, 0) <> 1",
     "filter_design": "select feature_id, d from map_feature where list_contains(string_split(d, '|'), 'D-6')",
@@ -130,17 +155,20 @@ ORACLE = {
         f"select '{name}' as facet, {c} as value, count(*) as n from map_feature where {c} is not null and {where} group by {c}"
         for name, c, where in (
             ("status", "s", f"{_K} and {_ST} and {_C}"),
-            ("kind", "k", f"{_S} and {_C}"),
+            ("kind", "k", f"{_S} and {_ST} and {_C}"),
             ("verification", "v", f"{_S} and {_K} and {_ST} and {_C}"),
-            ("access", "a", f"{_S} and {_K} and {_ST} and {_C}"),
             ("region", "r", f"{_S} and {_K} and {_ST}"),
         )
     ),
-    "query_round_trip": """select * from (values ('status=gone,standing', 'status=standing,gone', 1), ('kind=none&state=OR', 'kind=none&state=OR', 2), ('country=CA&rentable=1', 'country=CA&rentable=1', 2),
- ('state=WA&country=US&year=1933', 'state=WA&year=1933', 2), ('bogus=1&status=zzz', '', 0), ('view=b,a,b&exact=1', 'exact=1&view=b,a', 1)) as t(query, canonical, active)""",
-    "year_counts": f"select {_STATE.format(y=1940)} as state, count(*) as n from map_feature group by 1",
-    "year_series": f"""with y as (select unnest(range(1900, 2027))::int as year), st as (select unnest(['standing', 'gone', 'not_yet', 'maybe', 'unknown']) as state),
- c as (select year, {_STATE.format(y='year')} as state, count(*) as n from y, map_feature group by 1, 2) select year, state, coalesce(n, 0) as n from y cross join st left join c using (year, state)""",
+    "filter_mine": f"with {_MARKS} select feature_id, i from map_feature where i in (select id from m where mark in ('stayed', 'want'))",
+    "mark_counts": f"with {_MARKS} select mark, count(distinct id) as towers from m group by rollup(mark)",
+    "query_round_trip": """select * from (values ('status=gone,standing', 'status=standing,gone', 1), ('kind=none&state=or', 'kind=none&state=OR', 2), ('country=CA&rent=1', 'rent=1&country=CA', 2),
+ ('state=WA&country=US&yr=1933&yrm=1', 'state=WA&yr=1933&yrm=1', 1), ('bogus=1&status=zzz', '', 0), ('vs=us-or-b,us-or-a,us-or-b,x&vr=60&ap=0', 'ap=0&vs=us-or-b,us-or-a&vr=60', 1),
+ ('at=7.256/45.5/-120.12345&t=us-or-warner-mountain&base=old&op=50&era=newest', 'at=7.26/45.5/-120.1235&t=us-or-warner-mountain&base=old&era=newest&op=50', 0),
+ ('mine=want,visited&ver=verified&mat=log&design=l4&reg=1&ns=1', 'ver=verified&reg=1&mine=visited,want&design=l4&mat=log&ns=1', 6), ('at=99/0/0&yr=1700&op=5&base=x&vr=30', '', 0)) as t(query, canonical, active)""",
+    "year_counts": f"with f as (select *, coalesce(s, 'unknown') as st from map_feature), c as (select {_STATE.format(y=1940)} as state from f) select 1940 as year, {_YEARS} from c",
+    "year_series": f"""with y as (select unnest(range(1900, 2027))::int as year), f as (select *, coalesce(s, 'unknown') as st from map_feature), c as (select year, {_STATE.format(y='year')} as state from y, f)
+ select year, {_YEARS} from c group by year""",
     "year_ranges": """with e as (select record_id, status, list_filter(coalesce(events, []), lambda x: x is not null and x.year between 1800 and 2026) as e from source_record),
  p as (select record_id, status, list_transform(list_filter(e, lambda x: x.event in ('built', 'rebuilt', 'replaced', 'moved_in')), lambda x: x.year) as st,
   list_transform(list_filter(e, lambda x: x.event in ('abandoned', 'burned', 'destroyed', 'removed', 'relocated', 'collapsed')), lambda x: x.year) as en,

@@ -57,7 +57,7 @@ def crossing_fixes(spark: SparkSession, sf: str) -> DataFrame:
     p = _pairs(spark, sf).withColumn("ty", y).withColumn("tx", x)
     p = p.withColumn("b1", geo.bearing_deg(F.col("lat"), F.col("lon"), F.col("ty"), F.col("tx"))).withColumn("b2", geo.bearing_deg(F.col("lat2"), F.col("lon2"), F.col("ty"), F.col("tx")))
     far = geo.distance_m(F.col("lat2"), F.col("lon2"), F.col("ty"), F.col("tx"))
-    p = p.where(far < 149_000).withColumn("cut", geo.cut_angle(F.col("b1"), F.col("b2"))).where("cut > 2")
+    p = p.where(far < 149_000).withColumn("cut", geo.cut_angle(F.col("b1"), F.col("b2"))).where("cut between 2 and 178")
     p = p.withColumn("fix", geo.crossing(F.col("lat"), F.col("lon"), F.col("b1"), F.col("lat2"), F.col("lon2"), F.col("b2")))
     off = geo.distance_m(F.col("fix.lat"), F.col("fix.lon"), F.col("ty"), F.col("tx"))
     return p.select("id", F.round("cut", 4).alias("cut"), F.round("fix.lat", 5).alias("lat"), F.round("fix.lon", 5).alias("lon"), geo.fix_score(off).alias("score"))
@@ -166,7 +166,17 @@ _DY, _DX = _dest("lat", "lon", "75.0", "25000.0")
 _HY, _HX = _dest("lat", "lon", "(ray * 30.0)", "(k * 250.0)")
 _MX, _MY = "((lon + 180) / 360)", "(0.5 - atanh(sin(radians(lat))) / (2 * pi()))"
 
+_POLY_E2 = "(1/294.9786982*(2-1/294.9786982))"
+_MER = "(6378206.4 * ((1 - e/4 - 3*e*e/64 - 5*e*e*e/256) * {p} - (3*e/8 + 3*e*e/32 + 45*e*e*e/1024) * sin(2*{p}) + (15*e*e/256 + 45*e*e*e/1024) * sin(4*{p}) - (35*e*e*e/3072) * sin(6*{p})))"
+
 ORACLE = {
+    # Molodensky with the shift from WGS84 to NAD27, (8, -160, -176) m; Snyder's polyconic on Clarke 1866
+    "old_datum": f"""with {_TW}, c as (select id, lat, lon, radians(lat) as p, radians(lon) as o, 6378137.0 as a, 1/298.257223563 as f, 6378206.4 - 6378137.0 as da, 1/294.9786982 - 1/298.257223563 as df, {_POLY_E2} as e from t),
+ g as (select *, a * (1 - f*(2-f)) / pow(1 - f*(2-f) * sin(p) * sin(p), 1.5) as m, a / sqrt(1 - f*(2-f) * sin(p) * sin(p)) as n, a * (1 - f) as b, 6378206.4 / sqrt(1 - e * sin(p) * sin(p)) as pn, radians(lon + 110) * sin(p) as turn from c)
+ select id, round(lat + degrees((-8 * sin(p) * cos(o) + 160 * sin(p) * sin(o) - 176 * cos(p) + da * n * f*(2-f) * sin(p) * cos(p) / a + df * (m * a / b + n * b / a) * sin(p) * cos(p)) / m), 7) as lat27,
+ round(lon + degrees((-8 * sin(o) - 160 * cos(o)) / (n * cos(p))), 7) as lon27, round(pn / tan(p) * sin(turn), 2) as px, round({_MER.format(p="p")} + pn / tan(p) * (1 - cos(turn)), 2) as py from g""",
+    "quadrant_text": f"""with {_PR}, b as (select id, {_bear('lat', 'lon', 'lat2', 'lon2')} as b from p), q as (select id, case when b > 180 then b - 360 else b end as turn from b)
+ select id, case when abs(turn) <= 90 then 'N ' || round(abs(turn), 1) else 'S ' || round(180 - abs(turn), 1) end || case when turn >= 0 then ' E' else ' W' end as quadrant, case when length(id) > 20 then rtrim(substr(id, 1, 19)) || '…' else id end as short from q""",
     "bearings": f"with {_PR}, b as (select id, {_dist('lat', 'lon', 'lat2', 'lon2')} as m, {_bear('lat', 'lon', 'lat2', 'lon2')} as b from p) select id, round(m, 2) as metres, round(b, 5) as bearing, ['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][(floor(b / 22.5 + 0.5)::int % 16) + 1] as compass from b",
     "destinations": f"with {_TW} select id, round({_DY}, 7) as lat, round({_DX}, 7) as lon from t",
     "mercator_tiles": f"with {_TW} select id, round({_MX}, 9) as mx, round({_MY}, 9) as my, floor({_MX} * 1024)::bigint as tx, floor({_MY} * 1024)::bigint as ty, floor(lat)::int || '_' || floor(lon)::int as cell from t",
