@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,18 +106,32 @@ def _pole(lat: Column, lon: Column, bearing: Column) -> list[Column]:
     return [F.sin(o) * F.cos(b) - F.sin(a) * F.cos(o) * F.sin(b), -F.cos(o) * F.cos(b) - F.sin(a) * F.sin(o) * F.sin(b), F.cos(a) * F.sin(b)]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once: an expression is evaluated again wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def crossing(lat1: Column, lon1: Column, b1: Column, lat2: Column, lon2: Column, b2: Column, most_m: float = 150_000.0) -> Column:
     """STRUCT(lat, lon) where two bearings meet ahead of both and within most_m of each, else null."""
-    p1, p2 = _pole(lat1, lon1, b1), _pole(lat2, lon2, b2)
-    c = _cross(p1, p2)
-    size = F.sqrt(_dot(c, c))
-    a1, a2 = _vector(lat1, lon1), _vector(lat2, lon2)
-    side = F.when(_dot(c, a1) + _dot(c, a2) < 0, -1.0).otherwise(1.0)
-    u = [x * side / size for x in c]
-    lat, lon = F.degrees(F.asin(F.greatest(F.least(u[2], F.lit(1.0)), F.lit(-1.0)))), F.degrees(F.atan2(u[1], u[0]))
-    ahead = lambda la, lo, b: F.abs(angle_between(b, bearing_deg(la, lo, lat, lon))) < 90
-    fine = (size > 1e-9) & ahead(lat1, lon1, b1) & ahead(lat2, lon2, b2) & (distance_m(lat1, lon1, lat, lon) <= most_m) & (distance_m(lat2, lon2, lat, lon) <= most_m)
-    return F.when(fine, F.struct(lat.alias("lat"), lon.alias("lon")))
+    given = F.struct(*[c.alias(n) for n, c in (("lat1", lat1), ("lon1", lon1), ("b1", b1), ("lat2", lat2), ("lon2", lon2), ("b2", b2))])
+    vector = lambda v: F.struct(*[x.alias(n) for n, x in zip("xyz", v, strict=True)])
+    parts = lambda v: [v[n] for n in "xyz"]
+
+    def met(g: Column) -> Column:
+        line = vector(_cross(_pole(g["lat1"], g["lon1"], g["b1"]), _pole(g["lat2"], g["lon2"], g["b2"])))
+        return _let(line, lambda c: _let(F.sqrt(_dot(parts(c), parts(c))), lambda size: _let(spot(g, parts(c), size), lambda p: F.when(fine(g, p, size), p))))
+
+    def spot(g: Column, c: list[Column], size: Column) -> Column:
+        ends = _dot(c, _vector(g["lat1"], g["lon1"])) + _dot(c, _vector(g["lat2"], g["lon2"]))
+        u = [x * F.when(ends < 0, -1.0).otherwise(1.0) / size for x in c]
+        return F.struct(F.degrees(F.asin(F.greatest(F.least(u[2], F.lit(1.0)), F.lit(-1.0)))).alias("lat"), F.degrees(F.atan2(u[1], u[0])).alias("lon"))
+
+    def fine(g: Column, p: Column, size: Column) -> Column:
+        ahead = lambda i: F.abs(angle_between(g[f"b{i}"], bearing_deg(g[f"lat{i}"], g[f"lon{i}"], p["lat"], p["lon"]))) < 90
+        near = lambda i: distance_m(g[f"lat{i}"], g[f"lon{i}"], p["lat"], p["lon"]) <= most_m
+        return (size > 1e-12) & ahead(1) & ahead(2) & near(1) & near(2)
+
+    return _let(given, met)
 
 
 def cut_angle(b1: Column, b2: Column) -> Column:
