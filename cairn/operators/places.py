@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cairn.functions import geo
-from cairn.operators.proximity import near_pairs, usable
+from cairn.operators.proximity import near_pairs, region_of, usable
 from cairn.session import cut
 
 
@@ -81,6 +81,94 @@ def look_up(records: DataFrame, gazetteer: DataFrame, key: str) -> DataFrame:
     return per.select(key, outcome.alias("outcome"), F.when(outcome.isin("found", "no_county"), F.col("place_id")).alias("place_id"))
 
 
+#: Degrees by which a point beside all polygons is nudged, about 5 km.
+NUDGE = 0.05
+
+
+def nearest_region(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
+    """(key, code, nudged): the polygon that holds a point; else the only one that its eight neighbours at NUDGE degrees lie in."""
+    held = region_of(points, polygons, key).withColumn("nudged", F.lit(False))
+    rest = points.where(usable(F.col("lat"), F.col("lon"))).join(held.select(key), key, "left_anti").select(key, "lat", "lon")
+    ways = F.array(*[F.struct(F.lit(a * NUDGE).alias("dy"), F.lit(b * NUDGE).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    moved = rest.select(key, "lat", "lon", F.posexplode(ways).alias("way", "d")).select(F.struct(key, "way").alias("at"), (F.col("lat") + F.col("d.dy")).alias("lat"), (F.col("lon") + F.col("d.dx")).alias("lon"))
+    near = region_of(moved, polygons, "at").groupBy(F.col(f"at.{key}").alias(key)).agg(F.min("code").alias("code"), F.max("code").alias("other")).where("code = other")
+    return held.unionByName(near.select(key, "code", F.lit(True).alias("nudged")))
+
+
+def country_at(points: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """(key, country) of points that boxes(code, country, lat0, lat1, lon0, lon1) of one country alone hold."""
+    codes = in_boxes(points, boxes, key).join(boxes.select("code", "country").distinct(), "code")
+    return codes.groupBy(key).agg(F.min("country").alias("country"), F.max("country").alias("_o")).where("country = _o").select(key, "country")
+
+
+def near_misses(places: DataFrame, key: str, metres: float, name_metres: float, similarity: Column) -> DataFrame:
+    """(key_a, key_b, metres, score) to look at: two places within `metres`, or within name_metres under names that are alike (0.5 or more).
+
+    places(key, lat, lon, name_key); similarity: a score in [0, 1] of the columns name_a and name_b. Each pair once.
+    """
+    a = places.select(F.col(key).alias(f"{key}_a"), "lat", "lon")
+    b = places.select(F.col(key).alias(f"{key}_b"), "lat", "lon")
+    met = within(a, b, max(metres, name_metres), f"{key}_a", f"{key}_b").where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    for side in "ab":
+        met = met.join(places.select(F.col(key).alias(f"{key}_{side}"), F.col("name_key").alias(f"name_{side}")), f"{key}_{side}")
+    scored = met.withColumn("score", similarity)
+    return scored.where((F.col("metres") <= metres) | ((F.col("metres") <= name_metres) & (F.col("score") >= 0.5))).select(f"{key}_a", f"{key}_b", "metres", "score")
+
+
+def dead_reckoned(notes: DataFrame, towns: DataFrame, key: str) -> DataFrame:
+    """(key, lat, lon) of notes(key, town, bearing, miles) reckoned from towns(town, lat, lon), to five decimals."""
+    j = notes.join(towns.select("town", "lat", "lon"), "town")
+    y, x = geo.destination(F.col("lat"), F.col("lon"), F.col("bearing"), F.col("miles") * 1609.344)
+    return j.select(key, F.round(y, 5).alias("lat"), F.round(x, 5).alias("lon"))
+
+
+def place_rentals(rentals: DataFrame, towers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(key, tower, stage): listed rentals put to their towers.
+
+    rentals(key, region, facility, name_key, loose_key), towers(tower, region, facility, name_key, loose_key, status). In this
+    order: an override(key, tower); the booking system's facility number; the name in the region, if one tower bears it, or
+    among several one alone that is rented (has a facility), or one alone that isn't known to be gone; the loose name, for the
+    one rented tower that bears it. Else tower is null and the stage `several` or `none`.
+    """
+    r = rentals.select("key", "region", "facility", "name_key", "loose_key")
+    t = towers.select("tower", F.col("region").alias("t_region"), F.col("facility").alias("t_facility"), F.col("name_key").alias("t_name"), F.col("loose_key").alias("t_loose"), (F.coalesce("status", F.lit("unknown")) == "gone").alias("gone"))
+    rented = F.col("t_facility").isNotNull()
+
+    def sole(found: DataFrame, stage: str, better: int) -> DataFrame:
+        """Of each key the only tower of the best class there is; a class of several is none."""
+        n = lambda c: F.count_if(c)
+        g = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tower").alias("one"), n(rented).alias("nr"), F.min(F.when(rented, F.col("tower"))).alias("r"), n(~F.col("gone")).alias("ns"), F.min(F.when(~F.col("gone"), F.col("tower"))).alias("s"))
+        pick = F.when(F.col("n") == 1, F.col("one")).when(F.col("nr") == 1, F.col("r")).when(F.col("ns") == 1, F.col("s"))
+        return g.select("key", pick.alias("tower"), F.when(pick.isNotNull(), stage).otherwise("several").alias("stage"), F.when(pick.isNotNull(), better).otherwise(9).alias("rank"))
+
+    facility = r.join(t, (F.col("facility") == F.col("t_facility"))).groupBy("key").agg(F.min("tower").alias("tower"), F.lit("facility").alias("stage"), F.lit(2).alias("rank"))
+    named = sole(r.where("name_key <> ''").join(t, (F.col("region") == F.col("t_region")) & (F.col("name_key") == F.col("t_name"))).select("key", "tower", "t_facility", "gone"), "name", 3)
+    loosely = r.where("loose_key <> ''").join(t.where(rented), (F.col("region") == F.col("t_region")) & (F.col("loose_key") == F.col("t_loose"))).groupBy("key").agg(F.min("tower").alias("tower"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "tower", F.lit("loose name").alias("stage"), F.lit(4).alias("rank"))
+    every = facility.unionByName(named).unionByName(loosely)
+    if overrides is not None:
+        every = every.unionByName(overrides.join(t.select("tower"), "tower").select("key", "tower", F.lit("override").alias("stage"), F.lit(1).alias("rank")))
+    best = every.groupBy("key").agg(F.min_by(F.struct("tower", "stage"), "rank").alias("b"))
+    return r.select("key").join(best, "key", "left").select("key", "b.tower", F.coalesce("b.stage", F.lit("none")).alias("stage"))
+
+
+def centroid(rings: Column) -> Column:
+    """STRUCT(lat, lon): area centroid of the first, outer ring; the mean of its corners where it has no area."""
+    ring = rings[0]
+    first = ring[0]
+    moved = F.transform(ring, lambda p: F.struct((p.lon - first.lon).alias("x"), (p.lat - first.lat).alias("y")))
+    n = F.size(ring)
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(moved, i).alias("p"), F.get(moved, F.pmod(i + 1, n)).alias("q")))
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s: Column, e: Column) -> Column:
+        c = e.p.x * e.q.y - e.q.x * e.p.y
+        return F.struct((s.a + c).alias("a"), (s.x + (e.p.x + e.q.x) * c).alias("x"), (s.y + (e.p.y + e.q.y) * c).alias("y"))
+
+    mean = lambda f: F.aggregate(ring, F.lit(0.0), lambda s, p: s + f(p)) / n
+    area = F.aggregate(edges, start, add, lambda s: F.when(F.abs(s.a) >= 1e-15, F.struct((first.lat + s.y / (3 * s.a)).alias("lat"), (first.lon + s.x / (3 * s.a)).alias("lon"))))
+    return F.when(n > 0, F.coalesce(area, F.struct(mean(lambda p: p.lat).alias("lat"), mean(lambda p: p.lon).alias("lon"))))
+
+
 def resolve_redirects(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 64) -> DataFrame:
     """(src, final): where each id leads in the end; ids on or before a loop have no final. Chains are halved each round."""
     now = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("final")).dropna().groupBy("src").agg(F.min("final").alias("final")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import entities, features, general, kernels
+from cairn.plans import entities, features, general, kernels, merging
 
-_MODULES = (general, features, entities, kernels)
+_MODULES = (general, features, entities, kernels, merging)
 
 
 def queries() -> dict:
