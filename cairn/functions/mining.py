@@ -1,4 +1,4 @@
-"""Facts out of prose, as Columns (F-29, F-30, F-37)."""
+"""A few facts out of stories, as Columns: years, feet, urls. See prose for what rentals and registers state."""
 
 from __future__ import annotations
 

@@ -45,8 +45,9 @@ def activity_semi_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dangling_towers(spark: SparkSession, sf: str) -> DataFrame:
-    """J-04: documents that name a tower which there isn't."""
-    return table(spark, sf, "documents").where("tower_id is not null").join(_t(spark, sf).select(F.col("id").alias("tower_id")), "tower_id", "left_anti").select("doc_id", "tower_id")
+    """J-04, V-04: features of the map whose tower is none, or is hidden."""
+    shown = _t(spark, sf).where("not coalesce(hidden, false)").select(F.col("id").alias("i"))
+    return table(spark, sf, "map_feature").where("i is not null").join(shown, "i", "left_anti").select("feature_id", "i")
 
 
 def unmatched_counties(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,8 +84,8 @@ def validate_towers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
-    """V-04: towers of one region under one name."""
-    return _t(spark, sf).groupBy("region", T.fold(F.col("name")).alias("name_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """V-04: record keys of one region under one name, but for the words any lookout may have."""
+    return _r(spark, sf).groupBy("region", resolve.name_key(F.col("name")).alias("name_key")).agg(F.count_distinct("rec_key").alias("n")).where("n > 1")
 
 
 def story_footnotes(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,8 +126,9 @@ def repeat_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reprint_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """W-07: of each exact text the oldest document, null dates last."""
-    d = table(spark, sf, "documents").where("text is not null").groupBy("text").agg(F.min(F.struct(F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp_ntz")).alias("at"), "doc_id")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    """W-07: of each exact text the oldest document, null dates last. Texts meet by their digest, so none is shuffled."""
+    first = F.min(F.struct(F.coalesce("loaded_at", F.lit("9999-01-01").cast("timestamp_ntz")).alias("at"), "doc_id")).alias("m")
+    d = table(spark, sf, "documents").where("text is not null").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(first, F.count(F.lit(1)).alias("copies"))
     return d.select(F.col("m.doc_id").alias("doc_id"), "copies")
 
 
@@ -174,8 +176,10 @@ def gazetteer_look_up(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redirect_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """J-17: a part leads to the one of half its number."""
-    return places.resolve_redirects(table(spark, sf, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))).withColumnRenamed("src", "p_partkey")
+    """J-17: a part leads to the one of half its number; those that end in 7 and 8 lead to each other, as a loop."""
+    p = F.col("p_partkey")
+    target = F.when(p % 10 == 7, p + 1).when(p % 10 == 8, p - 1).otherwise(F.floor(p / 2))
+    return places.resolve_redirects(table(spark, sf, "part").where("p_partkey > 3").select(p.alias("src"), target.alias("dst"))).withColumnRenamed("src", "p_partkey")
 
 
 def shared_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,10 +249,12 @@ def quote_containment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_lines_context(spark: SparkSession, sf: str) -> DataFrame:
-    """M-12: lines that mention lightning with one line around them."""
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    w = W.partitionBy("doc_id").orderBy("line").rowsBetween(-1, 1)
-    return d.withColumn("hit", F.max(F.col("t").contains("lightning").cast("int")).over(w)).where("hit = 1").select("doc_id", "line")
+    """M-12: lines that mention lightning with one line around them. A text's lines are looked at where it is read."""
+    lines = F.split("text", "\n")
+    hit = F.transform(lines, lambda t: t.contains("lightning"))
+    at = lambda i: F.coalesce(F.get("hit", i), F.lit(False))
+    near = F.filter(F.sequence(F.lit(0), F.size("hit") - 1), lambda i: at(i) | at(i + 1) | F.when(i > 0, at(i - 1)).otherwise(False))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", hit.alias("hit")).select("doc_id", F.explode(near).alias("line"))
 
 
 def stratified_cap(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,14 +322,14 @@ _RULES = {
 ORACLE = {
     "first_address_join": "select c_custkey, n_name, min(o_orderkey) as first_order from customer left join orders on c_custkey = o_custkey left join nation on c_nationkey = n_nationkey group by c_custkey, n_name",
     "activity_semi_join": "select record_id, source from source_record where len(list_filter(events, lambda x: x.event = 'restored')) > 0",
-    "dangling_towers": "select doc_id, tower_id from documents where tower_id is not null and tower_id not in (select id from tower)",
+    "dangling_towers": "select feature_id, i from map_feature where i is not null and i not in (select id from tower where not coalesce(hidden, false))",
     "unmatched_counties": f"select region, {_KEY.format('county')} as ck, count(*) as n from source_record r where county is not null and not exists (select 1 from county c where c.region = r.region and {_KEY.format('c.name')} = {_KEY.format('r.county')}) group by 1, 2",
     "audit_coverage": f"with {_AUD} select source, count(*) as records, count_if(visible) as held_visible, count_if(approximate) as held_approximate, count_if(held and not visible) as held_hidden_only, count_if(not held) as not_held, "
     + ", ".join(f"count_if(coalesce(reason, '') = '{r}') as {r}" for r in audit.REASONS)
     + " from b group by rollup(source)",
     "not_held": f"with {_AUD} select source, coalesce(region, '') as region, coalesce(name, '') as name, rec_key, record_id, reason from b where not held",
     "validate_towers": " union all ".join(f"select id, '{lv}' as level, '{m}' as message from tower where {c}" for m, (lv, c) in _RULES.items()),
-    "duplicate_names": f"select region, {_FOLD.format('name')} as name_key, count(*) as n from tower group by 1, 2 having count(*) > 1",
+    "duplicate_names": f"""select region, trim(regexp_replace(regexp_replace(regexp_replace({_NORM.format('name')}, '\\b(fire|lookout|lkt|tower|station|site|the)\\b', ' ', 'g'), '\\b(mt|mtn|mount)\\b', 'mountain', 'g'), '\\s+', ' ', 'g')) as name_key, count(distinct rec_key) as n from source_record group by 1, 2 having count(distinct rec_key) > 1""",
     "snapshot_changes": """with f as (select *, built_at < timestamp '2024-01-01' as old from map_feature), l as (select old, i, s, v, b from f qualify row_number() over (partition by old, i order by built_at desc, feature_id desc) = 1),
  j as (select i, o.i is null as added, n.i is null as removed, concat_ws(',', case when o.s is distinct from n.s then 's' end, case when o.v is distinct from n.v then 'v' end, case when o.b is distinct from n.b then 'b' end) as d
   from (select * from l where old) o full join (select * from l where not old) n using (i))
@@ -345,7 +351,8 @@ ORACLE = {
  h as (select record_id, r.nk, r.ck, count(place_id) as n, min(place_id) as p, bool_or(exists (select 1 from g g2 where g2.region = r.region and g2.ck = r.ck)) as known from r left join g on r.region = g.region and r.nk = g.nk and (r.ck is null or r.ck = g.ck) group by 1, 2, 3),
  o as (select record_id, case when nk = '' then 'no_name' when ck is not null and not known then 'county_unknown' when n = 0 then 'none' when n > 1 then 'ambiguous' when ck is null then 'no_county' else 'found' end as outcome, p from h)
  select record_id, outcome, case when outcome in ('found', 'no_county') then p end as place_id from o""",
-    "redirect_closure": "select p_partkey, 1 as final from part where p_partkey > 1",
+    "redirect_closure": """with recursive e as (select p_partkey as src, case when p_partkey % 10 = 7 then p_partkey + 1 when p_partkey % 10 = 8 then p_partkey - 1 else p_partkey // 2 end as dst from part where p_partkey > 3),
+ w as (select src as p_partkey, dst as final, 1 as n from e union all select p_partkey, dst, n + 1 from w join e on final = src where n < 40) select p_partkey, final from w where final not in (select src from e)""",
     "merged_fields": "with m as (select rec_key, " + ", ".join(f"first({f} order by record_id) filter ({f} is not null) as {f}, case when count(distinct {f}) > 1 then '{f}' end as c_{f}" for f in ("kind", "status", "built", "agency", "county")) + " from source_record where rec_key is not null group by rec_key) select rec_key, kind, status, built, agency, county, concat_ws(',', c_kind, c_status, c_built, c_agency, c_county) as conflicts from m",
     "lineage_verification": f"with m as (select concat_ws('|', region, {_FOLD.format('name')}) as g, source, lat is null as ap from source_record where name is not null) select g, count(distinct source) as lineages, case when bool_or(ap) then 'unverified' when count(distinct source) >= 2 then 'facts' else 'unverified' end as verification from m group by g",
     "allocated_ids": f"""with n as (select record_id, lower(country) || '-' || lower(region) || '-' || {_SLUG.format('name')} as base from source_record where name is not null and region is not null and country is not null),

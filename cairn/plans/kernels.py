@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from cairn.functions import geo
 from cairn.functions import text as T
-from cairn.session import table
+from cairn.session import shared_folder, table
 from cairn.streaming import events as streams
 from cairn.terrain import sight
 
@@ -109,14 +109,15 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_streamed(spark: SparkSession, sf: str) -> DataFrame:
-    """The windows of event_windows as a stream computes them: every file once, then the table it leaves."""
+    """The windows of event_windows as a stream computes them: every file once, then the table its last batch leaves in the shared folder."""
     import uuid
 
-    name = f"events_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    streams.windows(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    stream = streams.windows(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    keep = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    keep.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def revenue_by_flag(spark: SparkSession, sf: str) -> DataFrame:

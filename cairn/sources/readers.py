@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.functions.prose import YEAR, removed_event
 
 RECORD = """source STRING, title STRING, url STRING, retrieved STRING, license STRING, records ARRAY<STRUCT<key: STRING, url: STRING, name: STRING, country: STRING, region: STRING, county: STRING, lat: DOUBLE, lon: DOUBLE,
  elevation_m: DOUBLE, type_raw: STRING, kind: STRING, status_raw: STRING, status: STRING, built: INT, agency: STRING, extra: STRING>>, _corrupt STRING"""
@@ -107,7 +108,7 @@ def fire_evidence(tags: Column) -> Column:
     """Do tags or the name tell of a fire lookout?"""
     pairs = (("tower:type", "observation"), ("man_made", "fire_lookout"), ("emergency", "fire_lookout"), ("historic", "fire_lookout"))
     out = F.coalesce(F.try_element_at(tags, F.lit("name")), F.lit("")).rlike(r"(?i)\b(fire\s*(lookout|tower)|lookout\s*tower)\b")
-    for k, v in pairs[1:]:
+    for k, v in pairs:
         out = out | (F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit("")) == v)
     return out
 
@@ -126,12 +127,15 @@ def bindings(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 _ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
 _CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
 #: Headers of register lists and what they mean.
-HEADERS = {"number": "no. no # number us# register", "name": "name lookout tower", "region": "state province", "county": "county parish", "country": "country"}
+HEADERS = {
+    "number": ("no.", "no", "#", "number", "us#", "register", "registry number", "nhlr registry number", "register number"), "name": ("name", "lookout", "lookout name", "tower", "tower name", "site name"),
+    "region": ("state", "province", "state/province"), "county": ("county", "parish"), "country": ("country",),
+}
 
 
-def html_rows(pages: DataFrame, key: str, html: str, headers: dict[str, str] | None = None) -> DataFrame:
+def html_rows(pages: DataFrame, key: str, html: str, headers: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(key, pos, cells MAP): rows of a page's tables, cells by the meaning of their column's header, in any order of columns."""
-    synonyms = {s: k for k, v in (headers or HEADERS).items() for s in v.split()}
+    synonyms = {s: k for k, v in (headers or HEADERS).items() for s in v}
     names = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
     rows = pages.select(key, F.regexp_extract_all(html, F.lit(_ROW), F.lit(1)).alias("rows")).where("size(rows) > 1")
     cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(_CELL), F.lit(1)), T.strip_tags)
@@ -150,6 +154,50 @@ def labelled(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.explode(cells).alias("c")).where("size(c) = 2").select(key, F.regexp_replace(F.get("c", F.lit(0)), r"\s*:$", "").alias("label"), F.get("c", F.lit(1)).alias("value"))
 
 
+#: Labels of detail pages and what they mean.
+LABELS = {"status": ("status", "current status"), "type": ("type", "structure", "construction"), "elevation": ("elevation", "elev."), "position": ("coordinates", "latitude / longitude", "lat/lon", "location"), "removed": ("removed",), "county": ("county",), "number": ("register number", "nhlr registry number", "number")}
+
+
+def detail_pages(pages: DataFrame, key: str, html: str, source: str) -> DataFrame:
+    """(key, name, status, type, county, number, elevation_m, lat, lon, removed) of detail pages: the heading, and a table of labels in any order.
+
+    An elevation in feet becomes metres, to one decimal, halves to even; a position is decimal degrees or degrees and minutes;
+    `removed` is the event that its text states (see prose.removed_event). What a page lacks is null.
+    """
+    synonyms = {s: k for k, v in LABELS.items() for s in v}
+    names = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
+    found = labelled(pages, key, html).select(key, F.try_element_at(names, F.lower("label")).alias("label"), F.nullif("value", F.lit("")).alias("value")).where("label is not null")
+    wide = found.groupBy(key).agg(*[F.min(F.when(F.col("label") == k, F.col("value"))).alias(k) for k in LABELS])
+    title = pages.select(key, F.nullif(T.strip_tags(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1)), F.lit("")).alias("name"))
+    amount = F.replace(F.regexp_extract("elevation", r"^\D*([\d,]+(?:\.\d+)?)", 1), F.lit(","), F.lit(""))
+    feet = F.expr("elevation rlike '(?i)(feet|ft|foot|\u2032)'")
+    metres = F.nullif(amount, F.lit("")).cast("double")
+    pair = r"(-?\d{1,3}\.\d+)\D{1,6}?(-?\d{1,3}\.\d+)"
+    half = lambda i: F.nullif(F.regexp_extract("position", pair, i), F.lit("")).cast("double")
+    typed = wide.withColumns({"elevation_m": F.when(feet, F.bround(metres * 0.3048, 1)).otherwise(metres), "lat": half(1), "lon": half(2)}).withColumn("removed", removed_event(F.col("removed"), F.lit(source)))
+    return title.join(typed, key, "left").select(key, "name", "status", "type", "county", "number", "elevation_m", "lat", "lon", "removed")
+
+
+def photos(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, url, caption, credit, year) of a page's figures, each url once: the caption's text, a credit behind a word for one, the last year."""
+    block = F.regexp_extract_all(html, F.lit(r"(?is)<figure\b[^>]*>.*?</figure\s*>"), F.lit(0))
+    one = pages.select(key, F.posexplode(block).alias("pos", "f"))
+    url = F.nullif(F.regexp_extract("f", r"""(?is)<img\b[^>]*?src\s*=\s*["']([^"']+)["']""", 1), F.lit(""))
+    text = F.nullif(T.strip_tags(F.regexp_extract("f", r"(?is)<figcaption\b[^>]*>(.*?)</figcaption\s*>", 1)), F.lit(""))
+    by = r"(?i)\b(?:photo|photograph|picture|image|courtesy)\s*(?:by|of|:|credit:?)?\s*:?\s*([^.;()]+)"
+    out = one.select(key, "pos", url.alias("url"), text.alias("caption"), F.trim(F.nullif(F.regexp_extract(text, by, 1), F.lit(""))).alias("credit"), F.try_element_at(F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)), F.lit(-1)).cast("int").alias("year"))
+    return out.where("url is not null").groupBy(key, "url").agg(F.min_by(F.struct("caption", "credit", "year"), "pos").alias("x")).select(key, "url", "x.*")
+
+
+def headed_sections(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, pos, heading, text) of a page's parts below its headings; what stands before the first has none."""
+    parts = F.split(html, r"(?i)(?=<h[1-6]\b)")
+    one = pages.select(key, F.posexplode(parts).alias("pos", "p"))
+    heading = F.nullif(T.strip_tags(F.regexp_extract("p", r"(?is)^<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>", 1)), F.lit(""))
+    body = T.strip_tags(F.regexp_replace("p", r"(?is)^<h[1-6]\b[^>]*>.*?</h[1-6]\s*>", ""))
+    return one.select(key, "pos", heading.alias("heading"), body.alias("text")).where("heading is not null or text <> ''")
+
+
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, url, label) of a page's links, each url once."""
     found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']+)["'][^>]*>.*?</a>"""), F.lit(0))
