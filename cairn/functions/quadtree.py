@@ -67,6 +67,21 @@ class Quadtree:
         at = np.searchsorted(self.starts, morton(lat, lon), side="right") - 1
         return np.where(lat > CAP_LAT, NORTH, np.where(lat < -CAP_LAT, SOUTH, at))
 
+    def boxes(self) -> np.ndarray:
+        """(lat0, lat1, lon0, lon1) of every leaf, in the order of slices: the two caps last, south first."""
+        side, depth = 1 << DEPTH, np.zeros(len(self.starts), dtype=np.int64)
+        width = np.diff(np.append(self.starts, 1 << (2 * DEPTH)))
+        depth = DEPTH - np.round(np.log2(width) / 2).astype(np.int64)
+        x = y = np.zeros(len(self.starts), dtype=np.int64)
+        for bit in range(DEPTH):
+            x = x | ((self.starts >> (2 * bit)) & 1) << bit
+            y = y | ((self.starts >> (2 * bit + 1)) & 1) << bit
+        span = 1 << (DEPTH - depth)
+        lat = lambda v: -90 + 180.0 * v / side
+        lon = lambda v: -180 + 360.0 * v / side
+        inner = np.column_stack((lat(y), lat(y + span), lon(x), lon(x + span)))
+        return np.vstack((inner, [[-90.0, -CAP_LAT, -180.0, 180.0], [CAP_LAT, 90.0, -180.0, 180.0]]))
+
     def reach(self, lat: np.ndarray, lon: np.ndarray, radius_deg: float) -> np.ndarray:
         """n x 5: the home leaf, then those of the four corners of the box around each point."""
         dlat = radius_deg * 1.0001

@@ -1,4 +1,4 @@
-"""A bulk-loaded (sort-tile-recursive) R-tree over points in space, probed for many balls at once with numpy."""
+"""Bulk-loaded (sort-tile-recursive) R-trees, over points in space and over boxes in the plane, probed for many queries at once with numpy."""
 
 from __future__ import annotations
 
@@ -56,3 +56,34 @@ class PointTree:
             d = self.xyz[node] - c[q]
             near = np.einsum("ij,ij->i", d, d) <= radius * radius
             yield q[near] + at, self.order[node[near]]
+
+
+class BoxTree:
+    """Boxes (x0, y0, x1, y1) of the plane, tiled by their centres."""
+
+    def __init__(self, boxes: np.ndarray):
+        n = len(boxes)
+        slabs = max(1, int(np.ceil(np.sqrt(n / FANOUT))))
+        order = np.argsort(boxes[:, 0] + boxes[:, 2], kind="stable")
+        slab = np.minimum(np.arange(n) * slabs // max(n, 1), slabs - 1)
+        self.order = order[np.lexsort(((boxes[:, 1] + boxes[:, 3])[order], slab))]
+        self.levels = [boxes[self.order]]
+        while len(self.levels[-1]) > 1:
+            b = self.levels[-1]
+            cuts = np.arange(0, len(b), FANOUT)
+            self.levels.append(np.column_stack((np.minimum.reduceat(b[:, :2], cuts), np.maximum.reduceat(b[:, 2:], cuts))))
+
+    def holding(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the point, index of the box) of all boxes that hold a point, edges included."""
+        if not len(self.order):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            b = self.levels[depth][node]
+            ok = (x[q] >= b[:, 0]) & (y[q] >= b[:, 1]) & (x[q] <= b[:, 2]) & (y[q] <= b[:, 3])
+            q, node = q[ok], node[ok]
+            if depth:
+                child = node[:, None] * FANOUT + np.arange(FANOUT)
+                ok = child < len(self.levels[depth - 1])
+                q, node = np.repeat(q, FANOUT).reshape(-1, FANOUT)[ok], child[ok]
+        return q, self.order[node]

@@ -90,8 +90,8 @@ def nearest_region(points: DataFrame, polygons: DataFrame, key: str) -> DataFram
     held = region_of(points, polygons, key).withColumn("nudged", F.lit(False))
     rest = points.where(usable(F.col("lat"), F.col("lon"))).join(held.select(key), key, "left_anti").select(key, "lat", "lon")
     ways = F.array(*[F.struct(F.lit(a * NUDGE).alias("dy"), F.lit(b * NUDGE).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    moved = rest.select(key, "lat", "lon", F.posexplode(ways).alias("way", "d")).select(F.struct(key, "way").alias("at"), (F.col("lat") + F.col("d.dy")).alias("lat"), (F.col("lon") + F.col("d.dx")).alias("lon"))
-    near = region_of(moved, polygons, "at").groupBy(F.col(f"at.{key}").alias(key)).agg(F.min("code").alias("code"), F.max("code").alias("other")).where("code = other")
+    moved = rest.select(key, "lat", "lon", F.posexplode(ways).alias("way", "d")).select(F.to_json(F.struct(F.col(key).alias("k"), "way")).alias("at"), (F.col("lat") + F.col("d.dy")).alias("lat"), (F.col("lon") + F.col("d.dx")).alias("lon"))
+    near = region_of(moved, polygons, "at").groupBy(F.from_json("at", f"k {points.schema[key].dataType.simpleString()}")["k"].alias(key)).agg(F.min("code").alias("code"), F.max("code").alias("other")).where("code = other")
     return held.unionByName(near.select(key, "code", F.lit(True).alias("nudged")))
 
 

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.quadtree import Quadtree
-from cairn.functions.rtree import PointTree, unit_vectors
+from cairn.functions.quadtree import NORTH, SOUTH, Quadtree
+from cairn.functions.rtree import BoxTree, PointTree, unit_vectors
+from cairn.session import plain
 
 EARTH_M = 6_371_000.0
 #: Most rows of the sample from which the quadtree is built on the driver, and distinct places aimed at per leaf.
@@ -141,18 +142,63 @@ def crossings(rings: Column, lon: Column, lat: Column) -> Column:
     return F.aggregate(F.coalesce(rings, F.array()), F.lit(0), lambda n, r: n + F.greatest(of_ring(F.concat(r, F.slice(r, 1, 1))), F.lit(0)))
 
 
-def region_of(df: DataFrame, polygons: DataFrame, key: str = "record_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
+def region_of(df: DataFrame, polygons: DataFrame, key: str = "record_id", lat: str = "lat", lon: str = "lon", sample_rows: int = SAMPLE_ROWS, leaf_places: int = LEAF_PLACES) -> DataFrame:
     """(key, code) for each row whose point lies in a polygon: even-odd rule over all rings, smallest code where several hold it.
 
-    Points and polygons meet on one-degree cells, an equi join: Catalyst broadcasts the polygons only if they are small.
-    A polygon's rings are read only for points in its box.
+    A bounded sample of the points makes a quadtree. A point goes to its own leaf, so it is looked up once; a polygon goes to
+    every leaf its box touches, with those of its edges that can cross a ray to the east within the leaf. Each leaf's
+    polygons are loaded into an R-tree of their boxes, the points are probed, and the even-odd rule decides. A leaf with too
+    many points is shared out to several tasks. Polygons with an empty box, and rows without a usable position, give nothing.
     """
-    points = df.where(usable(F.col(lat), F.col(lon))).select(F.col(key).alias("id"), F.col(lat).alias("y"), F.col(lon).alias("x"), F.floor(lat).cast("int").alias("cy"), F.floor(lon).cast("int").alias("cx"))
-    cells = (
-        polygons.select("code", "rings", "x0", "y0", "x1", "y1")
-        .where("x0 <= x1 and y0 <= y1")
-        .withColumn("cy", F.explode(F.sequence(F.floor("y0").cast("int"), F.floor("y1").cast("int"))))
-        .withColumn("cx", F.explode(F.sequence(F.floor("x0").cast("int"), F.floor("x1").cast("int"))))
-    )
-    inside = points.join(cells, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").where(crossings(F.col("rings"), F.col("x"), F.col("y")) % 2 == 1)
-    return inside.groupBy("id").agg(F.min("code").alias("code")).withColumnRenamed("id", key)
+    points = df.where(usable(F.col(lat), F.col(lon))).select(F.col(key).alias("_key"), F.col(lat).alias("y"), F.col(lon).alias("x"))
+    share = min(1.0, sample_rows / max(points.count(), 1))
+    sample = points if share == 1 else points.where(F.pmod(F.xxhash64("_key", "x", "y"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    got = sample.select("y", "x").toPandas()
+    tree = Quadtree(got["y"].to_numpy(float), got["x"].to_numpy(float), max(16, int(leaf_places * share)), 0.0)
+    kind = points.schema["_key"].dataType.simpleString()
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            leaf = tree.leaf(b["y"].to_numpy(float), b["x"].to_numpy(float))
+            yield b.assign(leaf=leaf, part=np.arange(len(b)) % tree.slices[leaf])
+
+    ring = lambda r: F.zip_with(r, F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    edges = F.flatten(F.transform(F.filter("rings", lambda r: F.size(r) > 0), ring))
+    end = lambda at, c: F.transform("e", lambda e: e[at][c]).alias(f"{c}_{at}")
+    flat = polygons.where("x0 <= x1 and y0 <= y1").select("code", "x0", "y0", "x1", "y1", edges.alias("e")).select("code", "x0", "y0", "x1", "y1", end("p", "lon"), end("p", "lat"), end("q", "lon"), end("q", "lat"))
+    boxes, slices = tree.boxes(), tree.slices
+    number = np.append(np.arange(len(boxes) - 2), [SOUTH, NORTH])
+
+    def touched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):  # a row is a polygon: few, and its edges are arrays
+                ax, ay, bx, by = (np.asarray(v, dtype=float) for v in r[5:9])
+                low, high, east = np.minimum(ay, by), np.maximum(ay, by), np.maximum(ax, bx)
+                out = []
+                for i in np.flatnonzero((boxes[:, 0] <= r.y1) & (boxes[:, 1] >= r.y0) & (boxes[:, 2] <= r.x1) & (boxes[:, 3] >= r.x0)):
+                    keep = (high >= boxes[i, 0]) & (low <= boxes[i, 1]) & (east >= boxes[i, 2])
+                    if keep.any():
+                        out += [(number[i], part, r.code, r.x0, r.y0, r.x1, r.y1, ax[keep], ay[keep], bx[keep], by[keep]) for part in range(slices[i])]
+                yield pd.DataFrame(out, columns=["leaf", "part", "code", "x0", "y0", "x1", "y1", "ax", "ay", "bx", "by"])
+
+    def probe(p: pd.DataFrame, polys: pd.DataFrame) -> pd.DataFrame:
+        x, y = p["x"].to_numpy(float), p["y"].to_numpy(float)
+        q, at = BoxTree(polys[["x0", "y0", "x1", "y1"]].to_numpy(float)).holding(x, y)
+        hits = np.zeros(len(q), bool)
+        for i in np.unique(at):
+            e = [np.asarray(polys[c].iloc[i], dtype=float) for c in ("ax", "ay", "bx", "by")]
+            for k in np.array_split(np.flatnonzero(at == i), 1 + (at == i).sum() * len(e[0]) // 4_000_000):
+                hits[k] = _odd(x[q[k]], y[q[k]], *e)
+        found = pd.DataFrame({key: p["_key"].to_numpy()[q[hits]], "row": q[hits], "code": polys["code"].to_numpy(object)[at[hits]]})
+        return plain(found.groupby("row", sort=False).agg({key: "first", "code": "min"})[[key, "code"]], ["code"])
+
+    there = points.mapInPandas(homes, f"_key {kind}, y double, x double, leaf bigint, part bigint").groupBy("leaf", "part")
+    here = flat.mapInPandas(touched, "leaf bigint, part bigint, code string, x0 double, y0 double, x1 double, y1 double, ax array<double>, ay array<double>, bx array<double>, by array<double>").groupBy("leaf", "part")
+    return there.cogroup(here).applyInPandas(probe, f"{key} {kind}, code string").groupBy(key).agg(F.min("code").alias("code"))
+
+
+def _odd(x: np.ndarray, y: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """For each point whether a ray to the east crosses an odd number of edges."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        across = (ay > y[:, None]) != (by > y[:, None])
+        return ((across & (x[:, None] < (bx - ax) * (y[:, None] - ay) / (by - ay) + ax)).sum(axis=1) % 2).astype(bool)

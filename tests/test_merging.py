@@ -100,6 +100,42 @@ def test_near_regions_and_misses(spark):
     assert [tuple(r)[:2] for r in places.near_misses(t, "id", 300.0, 3000.0, alike).collect()] == [("a", "b")]
 
 
+def test_regions_by_tree_equal_brute_force(spark):
+    import numpy as np
+
+    from cairn.operators import proximity
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        x, y, n = rng.uniform(-180, 180), rng.uniform(-88, 88), int(rng.integers(3, 12))
+        turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+        ring = [(float(np.clip(x + 6 * np.cos(a), -180, 180)), float(np.clip(y + 4 * np.sin(a), -90, 90))) for a in turn]
+        hole = [(x + 0.5 * np.cos(a), y + 0.5 * np.sin(a)) for a in turn]
+        rings = [ring, [(float(a), float(b)) for a, b in hole]] if i % 3 == 0 else [ring]
+        xs, ys = zip(*ring)
+        rows.append((f"c{i:02d}", rings, min(xs), min(ys), max(xs), max(ys)))
+    poly = spark.createDataFrame(rows, "code string, rings array<array<struct<lon double, lat double>>>, x0 double, y0 double, x1 double, y1 double")
+    near = rng.integers(0, 40, 1500)
+    pts = [(i, float(np.clip((rows[k][3] + rows[k][5]) / 2 + rng.normal(0, 3), -90, 90)), float(np.clip((rows[k][2] + rows[k][4]) / 2 + rng.normal(0, 4), -180, 180))) for i, k in enumerate(near)]
+    df = spark.createDataFrame([*pts, *([(9000, pts[0][1], pts[0][2])] * 3), (9001, None, 1.0), (9002, 95.0, 1.0)], "record_id bigint, lat double, lon double").withColumn("code", F.lit("clash"))
+
+    def holds(r, lat, lon):
+        if not (r[2] <= lon <= r[4] and r[3] <= lat <= r[5]):
+            return False
+        odd = False
+        for ring in r[1]:
+            for (px, py), (qx, qy) in zip(ring, ring[1:] + ring[:1]):
+                if (py > lat) != (qy > lat) and lon < (qx - px) * (lat - py) / (qy - py) + px:
+                    odd = not odd
+        return odd
+
+    want = {(i, min(c)) for i, lat, lon in [*pts, (9000, pts[0][1], pts[0][2])] if (c := [r[0] for r in rows if holds(r, lat, lon)])}
+    for sample, leaf in ((100_000, 50), (100, 400), (10, 4000)):
+        assert {tuple(r) for r in proximity.region_of(df, poly, sample_rows=sample, leaf_places=leaf).collect()} == want
+    assert proximity.region_of(df.limit(0), poly).count() == 0 and proximity.region_of(df, poly.limit(0)).count() == 0
+
+
 def test_sheets(spark):
     ring = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
     rows = [(1, "Old", 125_000, 1909, 1909), (2, "Old", 125_000, 1909, 1948), (3, "Mid", 62_500, 1959, None), (4, "New", 24_000, 1998, None)]
