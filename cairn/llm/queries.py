@@ -80,11 +80,14 @@ def _claims(spark: SparkSession, sf: str) -> DataFrame:
     u = _usable()
     values = {"status": F.col("status"), "built": F.col("built").cast("string"), "elevation_m": F.round("elevation_m").cast("bigint").cast("string")}
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.when(u[f], values[f]).alias("value")) for f in values])
-    return table(spark, sf, "source_record").select(F.col("rec_key").alias("grp"), "feed", F.inline(each)).where("value is not null")
+    records = table(spark, sf, "source_record").select(F.col("rec_key").alias("grp"), "feed", F.inline(each))
+    # a build of the map is the source of its features' `v`
+    builds = table(spark, sf, "map_feature").select(F.col("i").alias("grp"), F.date_format("built_at", "yyyy-MM").alias("feed"), F.lit("v").alias("field"), F.when(F.col("v").isin(*V_RANK), F.col("v")).alias("value"))
+    return records.unionByName(builds).where("value is not null")
 
 
 def p6_truth(spark: SparkSession, sf: str) -> DataFrame:
-    """Every value of a delivered record that the two-sided quality model holds for true."""
+    """Every value of a delivered record, or a built feature, that the two-sided quality model holds for true."""
     return survivors.true_values(_claims(spark, sf))[0]
 
 

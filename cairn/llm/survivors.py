@@ -10,6 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cairn.session import cut
 
@@ -39,7 +40,8 @@ def _logit(p: float) -> float:
 
 
 def true_values(claims: DataFrame, rounds: int = 12, prior: float = 0.5) -> tuple[DataFrame, dict[tuple[str, str], tuple[float, float]]]:
-    """(grp, field, value, truth) of every claimed value that the model holds for true, and each (field, feed)'s sensitivity and specificity.
+    """(grp, field, value, truth) of every claimed value that the model holds for true, and of the likeliest one where it holds none, and
+    each (field, feed)'s sensitivity and specificity.
 
     claims(grp, field, feed, value); rows with a null are left out, repeated claims count once. A feed that says anything of a
     group's field and doesn't claim a value speaks against it. Expectation: the probability that a value is true, given who claims it and who
@@ -81,4 +83,7 @@ def true_values(claims: DataFrame, rounds: int = 12, prior: float = 0.5) -> tupl
         quality = {(r["field"], r["feed"]): (r["sens"], r["spec"]) for r in stats.collect()}
     if not feeds:
         return known.select("grp", "field", "value", F.lit(0.0).alias("truth")).where(F.lit(False)), {}
-    return known.select("grp", "field", "value", F.round(truth(), 6).alias("truth")).where("truth >= 0.5"), quality
+    judged = known.select("grp", "field", "value", F.round(truth(), 6).alias("truth"))
+    # a group always keeps a value: on a tie the smallest
+    first = F.row_number().over(W.partitionBy("grp", "field").orderBy(F.desc("truth"), "value"))
+    return judged.withColumn("_n", first).where("truth >= 0.5 or _n = 1").drop("_n"), quality

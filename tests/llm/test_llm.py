@@ -110,6 +110,7 @@ def test_survivors_and_truth(spark):
     found, quality = survivors.true_values(df)
     true = found.where("value = 'true'").count()
     assert true > 285 and found.count() - true < 30
+    assert found.select("grp").distinct().count() == 300  # every group keeps a value
     assert quality["f", "good"][0] > quality["f", "bad"][0]
     assert survivors.true_values(df.limit(0))[0].count() == 0
 
