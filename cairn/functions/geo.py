@@ -210,3 +210,73 @@ def parse_dms(text: Column) -> Column:
     side = part(4)
     fine = (m < 60) & (F.coalesce(s, F.lit(0.0)) < 60) & (v <= F.when(side.isin("N", "S"), 90).otherwise(180))
     return F.when(fine, F.when(side.isin("S", "W"), -v).otherwise(v))
+
+
+def vector_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
+    """Great-circle distance by the angle of two unit vectors, sound for points near each other and for antipodes."""
+    a, b = _vector(lat1, lon1), _vector(lat2, lon2)
+    c = _cross(a, b)
+    return radius * F.atan2(F.sqrt(_dot(c, c)), _dot(a, b))
+
+
+def mercator_metres(lat: Column, radius: float = EARTH_M) -> Column:
+    """Metres on the ground of one unit of Mercator's square at a latitude."""
+    return F.cos(F.radians(lat)) * 2 * math.pi * radius
+
+
+def pixel_metres(lat: Column, zoom: int, tile_px: int = 256) -> Column:
+    return mercator_metres(lat) / (tile_px * (1 << zoom))
+
+
+#: Zoom of the terrain up to a distance in metres.
+LEVELS = ((12, 4_000.0), (10, 40_000.0), (9, 100_000.0), (8, math.inf))
+
+
+def panorama_levels(most_m: float, light: bool = False) -> list[tuple[int, float]]:
+    """(zoom, up to metres) for a view of that reach, finest first; light: without zoom 9."""
+    out: list[tuple[int, float]] = []
+    for zoom, reach in LEVELS:
+        if (not out or out[-1][1] < most_m) and not (light and zoom == 9):
+            out.append((zoom, min(reach, most_m)))
+    return out
+
+
+def viewshed_levels(radius_m: float) -> list[tuple[int, float]]:
+    """Zoom 12 near by, 10 beyond."""
+    near = LEVELS[0]
+    return [(near[0], min(near[1], radius_m)), *([(10, radius_m)] if radius_m > near[1] else [])]
+
+
+#: Keys of georeferenced images, units in metres, codes of datums and methods.
+KEYS = {"model": 1024, "unit": 3076, "system": 3072, "geographic": 2048, "axis": 2057, "method": 3075, "lon0": (3080, 3088), "lat0": (3081, 3089), "k0": 3092, "east": 3082, "north": 3083}
+UNITS_M = {9001: 1.0, 9002: 0.3048, 9003: 1200 / 3937}
+DATUMS = {4267: "nad27", 4269: "wgs84", 4326: "wgs84", 4152: "wgs84"}
+METHODS = {1: "transverse_mercator", 22: "polyconic"}
+ZONES = {267: "nad27", 269: "wgs84", 326: "wgs84"}
+
+
+def georeference(keys: Column, lat: Column, lon: Column) -> Column:
+    """STRUCT(kind, datum, shift, lon0, lat0, k0, east, north, unit, unsupported) of an image's keys MAP<INT, DOUBLE>.
+
+    shift: the area of the datum shift, null where there is none; unsupported: why the keys can't be used, and all else null.
+    Codes of UTM zones stand for their projection; a projection of the image's own needs datum, method and central meridian.
+    """
+    get = lambda k: F.coalesce(*[F.try_element_at(keys, F.lit(x)) for x in (k if isinstance(k, tuple) else (k,))])
+    pick = lambda table, code: F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in table.items()])
+    unit = pick(UNITS_M, F.coalesce(get(KEYS["unit"]), F.lit(9001.0)))
+    system, geographic, axis = get(KEYS["system"]), get(KEYS["geographic"]), get(KEYS["axis"])
+    own = system.isNull() | (system == 32767)
+    zone = F.when(~own & pick(ZONES, F.floor(system / 100)).isNotNull(), system % 100)
+    unnamed = geographic.isNull() | (geographic == 32767)
+    by_axis = F.when(F.abs(axis - _CLARKE[0]) < 0.5, "nad27").when(F.abs(axis - _WGS84[0]) < 0.5, "wgs84")
+    datum = F.when(zone.isNotNull(), pick(ZONES, F.floor(system / 100))).otherwise(F.when(unnamed, by_axis).otherwise(pick(DATUMS, geographic)))
+    kind = F.when(zone.isNotNull(), "transverse_mercator").otherwise(pick(METHODS, get(KEYS["method"])))
+    lon0 = F.when(zone.isNotNull(), -183 + 6 * zone).otherwise(get(KEYS["lon0"]))
+    wrong = (
+        F.when(F.coalesce(get(KEYS["model"]), F.lit(0.0)) != 1, "not a projected map").when(unit.isNull(), "linear unit").when(~own & zone.isNull(), "coordinate system")
+        .when(datum.isNull(), "datum").when(kind.isNull(), "projection method").when(lon0.isNull(), "no central meridian")
+    )
+    shift = F.when(datum == "nad27", F.when((lat > 51) & (lon < -129), "alaska").otherwise("conus"))
+    utm = lambda of_zone, otherwise: F.when(zone.isNotNull(), of_zone).otherwise(otherwise)
+    fields = {"kind": kind, "datum": datum, "shift": shift, "lon0": lon0, "lat0": utm(0.0, F.coalesce(get(KEYS["lat0"]), F.lit(0.0))), "k0": utm(0.9996, F.coalesce(get(KEYS["k0"]), F.lit(1.0))), "east": utm(500_000.0, F.coalesce(get(KEYS["east"]), F.lit(0.0)) * unit), "north": utm(0.0, F.coalesce(get(KEYS["north"]), F.lit(0.0)) * unit), "unit": unit}
+    return F.struct(*[F.when(wrong.isNull(), c).alias(n) for n, c in fields.items()], wrong.alias("unsupported"))

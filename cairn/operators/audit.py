@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -80,6 +82,64 @@ def tower_rules(statuses: tuple[str, ...], kinds: tuple[str, ...]) -> dict[str,
     }
 
 
+def first_bad(items: Column, fine: Callable[[Column], Column]) -> Column:
+    """What is wrong with a list: `[i] is malformed`, with how many more; null if nothing is, or there is no list."""
+    bad = F.filter(F.transform(items, lambda x, i: F.struct(i.alias("i"), F.coalesce(fine(x), F.lit(False)).alias("ok"))), lambda x: ~x.ok)
+    more = F.when(F.size(bad) > 1, F.concat(F.lit(" (and "), (F.size(bad) - 1).cast("string"), F.lit(" more)"))).otherwise("")
+    return F.when(F.size(bad) > 0, F.concat(F.lit("["), bad[0].i.cast("string"), F.lit("] is malformed"), more))
+
+
+def record_rules(boxes: Column, countries: tuple[str, ...], ownerships: tuple[str, ...], materials: tuple[str, ...], verifications: tuple[str, ...]) -> dict[str, tuple[str, Column]]:
+    """Further rules of a canonical record, beside tower_rules. boxes: ARRAY<STRUCT(lat0, lat1, lon0, lon1)> of its country, null for none."""
+    lat, lon = F.col("location.lat"), F.col("location.lon")
+    inside = F.exists(boxes, lambda b: lat.between(b.lat0, b.lat1) & lon.between(b.lon0, b.lon1))
+    outside = lambda c, vocabulary: c.isNull() | ~c.isin(*vocabulary)
+    return {
+        "id is too long": ("error", F.length("id") > 120),
+        "id country differs from country": ("error", F.split("id", "-")[0] != F.lower("country")),
+        "country is not one covered": ("error", outside(F.col("country"), countries)),
+        "coordinates are outside the country": ("error", lat.isNotNull() & lon.isNotNull() & ~F.coalesce(inside, F.lit(False))),
+        "ownership is not in the vocabulary": ("error", outside(F.col("ownership"), ownerships)),
+        "verification is not in the vocabulary": ("error", outside(F.col("verification"), verifications)),
+        "material is not in the vocabulary": ("error", F.col("material").isNotNull() & ~F.col("material").isin(*materials)),
+        "status_note is neither null nor text": ("error", F.trim("status_note") == ""),
+        "elevation_m is not a number": ("error", F.isnan("elevation_m")),
+        "height_m is not a number": ("error", F.isnan("height_m")),
+        "hidden is not true or false": ("error", F.col("hidden").isNull()),
+        "other_names is not a list": ("error", F.col("other_names").isNull()),
+        "other_names is malformed": ("error", first_bad(F.col("other_names"), lambda x: F.trim(x) != "").isNotNull()),
+        "locked is not a list": ("error", F.col("locked").isNull()),
+        "approximate but held for verified": ("warning", F.col("location.approximate") & (F.col("verification") != "unverified")),
+    }
+
+
+def research_rules(statuses: tuple[str, ...], kinds: tuple[str, ...], events: tuple[str, ...]) -> dict[str, tuple[str, Column]]:
+    """Rules of a research file: (id, researched, summary, sources, events, evidence, confidence, verification, status, kind), as far as they are columns."""
+    http = lambda c: F.coalesce(c.rlike("^https?://"), F.lit(False))
+    numbers = F.transform("sources", lambda s: s.n)
+    cited = lambda items: F.exists(items, lambda e: (F.coalesce(F.size(e.cite), F.lit(0)) < 1) | (F.size(F.array_except(e.cite, numbers)) > 0))
+    v = F.col("verification")
+    return {
+        "researched is not a date": ("error", ~F.coalesce(F.col("researched").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))),
+        "summary is missing": ("error", F.coalesce(F.trim("summary"), F.lit("")) == ""),
+        "summary is too long": ("warning", F.length("summary") > 200),
+        "sources is missing or empty": ("error", F.coalesce(F.size("sources"), F.lit(0)) < 1),
+        "a source has no number": ("error", F.exists("sources", lambda s: s.n.isNull())),
+        "a source number is used twice": ("error", F.size(F.array_distinct(numbers)) < F.size(numbers)),
+        "a source has no http(s) url": ("error", F.exists("sources", lambda s: ~http(s.url))),
+        "a source has no title": ("error", F.exists("sources", lambda s: F.coalesce(F.trim(s.title), F.lit("")) == "")),
+        "accessed is not a date": ("warning", F.exists("sources", lambda s: s.accessed.isNotNull() & ~s.accessed.rlike(r"^\d{4}-\d{2}-\d{2}$"))),
+        "an event cites no source, or one that isn't there": ("error", cited(F.col("events"))),
+        "an event is not in the vocabulary": ("warning", F.exists("events", lambda e: ~F.coalesce(e.event.isin(*events), F.lit(False)))),
+        "status is not valid": ("warning", ~F.col("status").isin(*statuses)),
+        "kind is not valid": ("warning", ~F.col("kind").isin(*kinds)),
+        "confidence is not high, medium or low": ("warning", ~F.col("confidence").isin("high", "medium", "low")),
+        "verdict is not pass, fixed or fail": ("error", v.isNotNull() & ~F.coalesce(v["verdict"].isin("pass", "fixed", "fail"), F.lit(False))),
+        "checked is not a date": ("error", v.isNotNull() & ~F.coalesce(v["checked"].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))),
+        "a count is below 0": ("error", (v["claims_checked"] < 0) | (v["unsupported_removed"] < 0) | (v["errors_fixed"] < 0)),
+    }
+
+
 def footnotes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, undefined, unused): numbers referred to without a definition, and defined without a reference."""
     t = F.coalesce(text, F.lit(""))

@@ -151,6 +151,37 @@ def place_rentals(rentals: DataFrame, towers: DataFrame, overrides: DataFrame |
     return r.select("key").join(best, "key", "left").select("key", "b.tower", F.coalesce("b.stage", F.lit("none")).alias("stage"))
 
 
+def named_by_summits(records: DataFrame, summits: DataFrame, symbols: DataFrame, taken: DataFrame, near_m: float = 2000.0, taken_m: float = 500.0) -> DataFrame:
+    """(symbol, key, names): symbols that a record known by name alone can claim.
+
+    records(key, region, name_key), summits(summit, region, name_key, lat, lon), symbols(symbol, lat, lon), taken(place, lat, lon).
+    A record's name must be one summit's of its region; one symbol alone must lie near that summit, and no taken place near
+    the symbol; records under several names claim nothing. key: the first record, names: how many claim it.
+    """
+    one = lambda d, by, what: d.groupBy(by).agg(F.min(what).alias(what), F.count_distinct(what).alias("_n")).where("_n = 1").select(by, what)
+    named = records.where("name_key <> ''").join(summits.select("summit", "region", "name_key"), ["region", "name_key"])
+    sole = one(named, "key", "summit")
+    at = summits.join(sole.select("summit").distinct(), "summit")
+    beside = one(within(at, symbols, near_m, "summit", "symbol"), "summit", "symbol")
+    free = beside.join(within(symbols, taken, taken_m, "symbol", "place").select("symbol").distinct(), "symbol", "left_anti")
+    claims = sole.join(free, "summit").join(records.select("key", "name_key"), "key")
+    got = claims.groupBy("symbol").agg(F.min("key").alias("key"), F.count_distinct("key").alias("names"), F.count_distinct("name_key").alias("_k"))
+    return got.where("_k = 1").select("symbol", "key", "names")
+
+
+def smoke_sites(cells: DataFrame, pair: DataFrame, least: int = 10) -> DataFrame:
+    """(pair, lat, lon) of ground both towers of a pair see, 4 to 28 km from each, where their lines cut at 35 to 145 degrees; only of pairs with `least` such cells.
+
+    cells(pair, lat, lon, seen_by), pair(pair, lat1, lon1, lat2, lon2).
+    """
+    j = cells.where("seen_by >= 2").join(pair, "pair")
+    d = [geo.distance_m(F.col(f"lat{i}"), F.col(f"lon{i}"), F.col("lat"), F.col("lon")) for i in (1, 2)]
+    b = [geo.bearing_deg(F.col("lat"), F.col("lon"), F.col(f"lat{i}"), F.col(f"lon{i}")) for i in (1, 2)]
+    fine = j.where(d[0].between(4000, 28_000) & d[1].between(4000, 28_000)).where(geo.cut_angle(*b).between(35, 145)).select("pair", "lat", "lon")
+    enough = fine.groupBy("pair").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("pair")
+    return fine.join(enough, "pair", "left_semi")
+
+
 def centroid(rings: Column) -> Column:
     """STRUCT(lat, lon): area centroid of the first, outer ring; the mean of its corners where it has no area."""
     ring = rings[0]

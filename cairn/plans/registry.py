@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import entities, features, general, kernels, landed, merging
+from cairn.plans import desk, entities, features, general, kernels, landed, merging
 
-_MODULES = (general, features, entities, kernels, merging, landed)
+_MODULES = (general, features, entities, kernels, merging, landed, desk)
 
 
 def queries() -> dict:
