@@ -132,10 +132,23 @@ def reprint_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("m.doc_id").alias("doc_id"), "copies")
 
 
+#: Records of one source and region that are filled in one go.
+_FILL = 1_000_000
+
+
 def heading_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """W-12: the last register number seen before each delivery of a key."""
-    w = W.partitionBy("source", "region").orderBy("record_id").rowsBetween(W.unboundedPreceding, 0)
-    return _r(spark, sf).select("record_id", "source", "region", F.last(F.get("registers", F.lit(0))["number"], ignorenulls=True).over(w).alias("heading"))
+    """W-12: the last register number seen before each delivery of a source and region.
+
+    Filled within blocks of records; what a block ends with is carried on over the blocks, so no source or region is one task.
+    """
+    number = F.get("registers", F.lit(0))["number"]
+    r = _r(spark, sf).select("record_id", "source", "region", number.alias("n"), F.floor(F.col("record_id") / _FILL).alias("block"))
+    w = W.partitionBy("source", "region", "block").orderBy("record_id").rowsBetween(W.unboundedPreceding, 0)
+    ends = r.groupBy("source", "region", "block").agg(F.max_by("n", F.when(F.col("n").isNotNull(), F.col("record_id"))).alias("end"))
+    over = W.partitionBy("source", "region").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(F.col("source").alias("s"), F.col("region").alias("g"), F.col("block").alias("b"), F.last("end", ignorenulls=True).over(over).alias("carried"))
+    filled = r.withColumn("own", F.last("n", ignorenulls=True).over(w))
+    return filled.join(carried, F.col("source").eqNullSafe(F.col("s")) & F.col("region").eqNullSafe(F.col("g")) & (F.col("block") == F.col("b"))).select("record_id", "source", "region", F.coalesce("own", "carried").alias("heading"))
 
 
 def radius_join(spark: SparkSession, sf: str) -> DataFrame:

@@ -176,3 +176,48 @@ def test_survey_rules(spark):
     tiers = spark.createDataFrame([(True, "gone", None), (False, "standing", ["NHLR"]), (False, "standing", ["NRHP"]), (False, "ruins", ["FFLOS"]), (False, "gone", ["FFLOS"]), (False, "gone", None), (False, None, [None]), (None, "x", None)], "rent boolean, s string, reg array<string>")
     got = tiers.select(audit.tier(F.col("rent"), F.col("s"), F.lit("tower"), F.lit("US"), F.col("reg"), F.array().cast("array<string>"), F.lit(False), gone_all=True)).collect()
     assert [r[0] for r in got] == [1, 2, 3, 4, 5, 6, 7, None]
+
+
+def test_designs(spark):
+    from cairn.functions import designs
+
+    def of(t):
+        return [(m.design, m.words) for m in _one(spark, designs.mentions(F.lit(t).cast("string")))[0]]
+
+    assert of("An L-4 cab on a CT-2 tower, unlike the L-5; Aermotor  MC-39") == [("l4", "L-4"), ("r6_timber_towers", "CT-2"), ("aermotor_mc39", "MC-39"), ("aermotor", "Aermotor")]
+    assert of("It predates the standard L-4 design. Later an L-4 came.") == [("l4", "L-4")] and of("D-6 with cupola") == [("d6", "D-6")] and of("log cabin with cupola")[0][0] == "cupola"
+    assert of(None) == [] and of("") == [] and of("L-4.5 and L-40") == []
+    ids = F.array(*map(F.lit, ("l4", "aermotor_mc39", "aermotor")))
+    family, parts = {"aermotor_mc39": "aermotor"}, {"cab": ("l4", "d6"), "tower": ("aermotor_mc39", "aermotor"), "whole": ("cdf",)}
+    assert _one(spark, designs.most_specific(ids, family))[0] == ["l4", "aermotor_mc39"] and _one(spark, designs.with_families(F.array(F.lit("aermotor_mc39")), family))[0] == ["aermotor_mc39", "aermotor"]
+    pairs = [F.array(*map(F.lit, x)) for x in (("l4", "aermotor"), ("l4", "d6"), ("cdf",), ("cdf", "l4"), ("l4",))]
+    got = [_one(spark, designs.pair(p, parts))[0] for p in pairs]
+    assert [g and tuple(g) for g in got] == [("l4", "aermotor", None), None, (None, None, "cdf"), None, ("l4", None, None)]
+    assert _one(spark, designs.variant_codes(F.lit("mc39, MC-39 and LS-40"), "aermotor"))[0] == ["MC-39", "LS-40"]
+
+
+def test_georeference_and_levels(spark):
+    def of(keys, lat=45.0, lon=-110.0):
+        m = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(float(v))) for k, v in keys.items()]))
+        return _one(spark, geo.georeference(m, F.lit(lat), F.lit(lon)))[0]
+
+    g = of({1024: 1, 3072: 26712})
+    assert (g.kind, g.datum, g.shift, g.lon0, g.k0, g.east, g.unsupported) == ("transverse_mercator", "nad27", "conus", -111.0, 0.9996, 500_000.0, None)
+    g = of({1024: 1, 2057: 6378206.4, 3075: 22, 3088: -150, 3082: 10, 3076: 9002}, 61.0, -150.0)
+    assert (g.kind, g.shift, g.lon0, round(g.east, 3), g.unit) == ("polyconic", "alaska", -150.0, 3.048, 0.3048)
+    wrong = [of(k).unsupported for k in ({1024: 2}, {1024: 1, 3076: 9999}, {1024: 1, 3072: 5070}, {1024: 1}, {1024: 1, 2048: 4267}, {1024: 1, 2048: 4269, 3075: 1})]
+    assert wrong == ["not a projected map", "linear unit", "coordinate system", "datum", "projection method", "no central meridian"] and of({1024: 2}).kind is None
+    assert geo.panorama_levels(150_000) == [(12, 4000.0), (10, 40_000.0), (9, 100_000.0), (8, 150_000)] and geo.panorama_levels(3000) == [(12, 3000)]
+    assert geo.panorama_levels(150_000, light=True) == [(12, 4000.0), (10, 40_000.0), (8, 150_000)] and geo.viewshed_levels(20_000) == [(12, 4000.0), (10, 20_000)]
+
+
+def test_research_rules(spark):
+    schema = "id string, researched string, summary string, sources array<struct<n int, title string, url string, accessed string>>, events array<struct<year int, event string, cite array<int>>>, confidence string, verification struct<verdict string, checked string, claims_checked int, unsupported_removed int, errors_fixed int>, status string, kind string"
+    good = ("a", "2026-01-02", "x", [(1, "t", "https://a", None)], [(1930, "built", [1])], "high", ("pass", "2026-01-03", 3, 0, 0), "standing", None)
+    bad = ("b", "soon", " ", [(1, "", "ftp://a", "x"), (1, "t", "https://b", None)], [(1930, "flown", [2]), (None, "built", None)], "sure", ("maybe", None, -1, 0, 0), "up", "boat")
+    df = spark.createDataFrame([good, bad, ("c", *[None] * 8)], schema)
+    rules = audit.research_rules(("standing",), ("tower",), ("built",))
+    got = audit.violations(df, "id", rules).collect()
+    assert {r["id"] for r in got} == {"b", "c"} and len([r for r in got if r["id"] == "b"]) == 14
+    assert {r["message"] for r in got if r["id"] == "c"} == {"researched is not a date", "summary is missing", "sources is missing or empty"}
+    assert _one(spark, audit.first_bad(F.array(F.lit("a"), F.lit(""), F.lit(None), F.lit("b")), lambda x: x != ""))[0] == "[1] is malformed (and 1 more)"
