@@ -323,7 +323,7 @@ def classes(pairs: DataFrame) -> DataFrame:
     Records whose best entity is one and the same are one class if they are sure of it, or resemble a record that is. A record
     that is neither is a class of its own, and must stand up for its entity alone.
     """
-    best = best_matches(pairs.where("not alike"))
+    best = written(best_matches(pairs.where("not alike")))
     sure = best.where(F.col("confidence") >= SURE).select("record", "entity")
     weak = best.where(F.col("confidence") < SURE).select("record", "entity")
     alike = pairs.where("alike").select(F.col("record").alias("a"), F.col("entity").alias("b"))
@@ -351,7 +351,7 @@ def match_records(records: DataFrame, towers: DataFrame) -> DataFrame:
     region has no match. confidence: the record's own with the tower, or its class's where it has none.
     """
     pairs = written(candidates(record_profiles(records), tower_profiles(towers)))
-    of = classes(pairs)
+    of = written(classes(pairs))
     own = pairs.where("not alike").select("record", "entity", F.round("confidence", 6).alias("confidence"))
     of_class = own.join(of, "record").groupBy(F.col("class").alias("record"), "entity").agg(F.max("confidence").alias("confidence"))
     paired = one_to_one(of_class).select(F.col("record").alias("class"), "entity", F.col("confidence").alias("_of_class"))

@@ -156,13 +156,18 @@ def link(all_spellings: DataFrame) -> DataFrame:
         .when(F.col("cost") <= 1, F.when(same_kind, near | same_county | (~far & ~other_county)).otherwise(near | (same_county & ~far)))
         .otherwise(F.when(same_kind, near | (unplaced & same_county)).otherwise(near & ~other_county))
     )
-    scored = pairs.where(same_kind | open_kind).withColumn("m", metres).where(fits)
     # A form without a kind may fit several kinds of one word: it keeps the best alone.
-    rank = (F.col("cost") * 10 + F.when(F.col("m").isNull(), F.when(same_county, 3.0).otherwise(6.0)).otherwise(F.col("m") / 1000)).alias("r")
-    bare = scored.where(open_kind).select(F.when(F.col("kind_a") == "", F.col("form_a")).otherwise(F.col("form_b")).alias("bare"), F.when(F.col("kind_a") == "", F.col("form_b")).otherwise(F.col("form_a")).alias("full"), F.when(F.col("kind_a") == "", F.col("kind_b")).otherwise(F.col("kind_a")).alias("full_kind"), rank)
-    best = bare.groupBy("bare").agg(F.min_by("full_kind", "r").alias("full_kind"))
-    kept = bare.join(best, ["bare", "full_kind"]).select(F.col("bare").alias("src"), F.col("full").alias("dst"))
-    alike = scored.where(same_kind).select(F.col("form_a").alias("src"), F.col("form_b").alias("dst"))
+    rank = F.col("cost") * 10 + F.when(F.col("m").isNull(), F.when(same_county, 3.0).otherwise(6.0)).otherwise(F.col("m") / 1000)
+    bare_first = F.col("kind_a") == ""
+    scored = pairs.where(same_kind | open_kind).withColumn("m", metres).where(fits)
+    linked = written(scored.select(
+        F.when(same_kind | bare_first, F.col("form_a")).otherwise(F.col("form_b")).alias("src"), F.when(same_kind | bare_first, F.col("form_b")).otherwise(F.col("form_a")).alias("dst"),
+        F.when(~same_kind, F.when(bare_first, F.col("kind_b")).otherwise(F.col("kind_a"))).alias("full_kind"), rank.alias("r"),
+    ))
+    bare = linked.where("full_kind is not null")
+    best = bare.groupBy("src").agg(F.min_by("full_kind", "r").alias("full_kind"))
+    kept = bare.join(best, ["src", "full_kind"]).select("src", "dst")
+    alike = linked.where("full_kind is null").select("src", "dst")
 
     bears = borne.select("bearer", "form").distinct()
     together = bears.select(F.min("form").over(W.partitionBy("bearer")).alias("src"), F.col("form").alias("dst"))
