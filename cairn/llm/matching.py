@@ -211,7 +211,9 @@ def candidates(records: DataFrame, entities: DataFrame, window: int = WINDOW, le
 def _tied(every: DataFrame, window: int, least: float) -> DataFrame:
     """Records and entities that share one key of an order with more rows than a window holds."""
     run = every.groupBy("ordering", "key").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("side") == 1).alias("_e"))
-    crowded = every.join(run.where(F.col("_n") > window).where("_e > 0 and _e < _n").drop("_n", "_e"), ["ordering", "key"])
+    # written, so that the planner knows how few they are before it shuffles every row for them
+    long = written(run.where(F.col("_n") > window).where("_e > 0 and _e < _n").select("ordering", "key"))
+    crowded = every.join(long, ["ordering", "key"])
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
     a = crowded.where("side = 0").select("ordering", "key", F.struct(*names).alias("a"))
     b = crowded.where("side = 1").select("ordering", "key", F.struct(*names).alias("b"))

@@ -33,21 +33,23 @@ def county_key(county: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(county), r"\b(county|co|parish|district|cty)\b\.?", ""), r"[^\p{L}]", ""), F.lit(""))
 
 
-def aliases(extra: Column) -> Column:
-    """The strings under `aliases` of a payload: a list of strings, of objects with a name, or one string."""
-    v = payload(extra)
+def aliases(v: Column) -> Column:
+    """The strings under `aliases` of a payload (a VARIANT): a list of strings, of objects with a name, or one string."""
     get = lambda kind: F.try_variant_get(v, "$.aliases", kind)
     named = F.filter(get("array<variant>"), lambda x: x.isNotNull())
     each = F.transform(named, lambda x: F.coalesce(F.try_variant_get(x, "$.name", "string"), F.try_variant_get(x, "$", "string")))
     one = F.array(F.coalesce(F.try_variant_get(v, "$.aliases.name", "string"), get("string")))
-    return F.coalesce(each, one)
+    return F.when(v.isNotNull(), F.coalesce(each, one))
 
 
 def spellings(records: DataFrame, towers: DataFrame) -> DataFrame:
     """(region, spelling, bearer, lat, lon, county): every spelling, and who bears it: a record key (or record) or a tower."""
     bearer = F.coalesce(F.concat(F.lit("k:"), "rec_key"), F.concat(F.lit("r:"), F.col("record_id").cast("string")))
     lat, lon = repaired(F.col("lat"), F.col("lon"))
-    mine = records.select("region", F.explode(F.concat(F.array("name"), F.coalesce(aliases(F.col("extra")), F.array()))).alias("spelling"), bearer.alias("bearer"), lat.alias("lat"), lon.alias("lon"), county_key(F.col("county")).alias("county"))
+    # a payload is parsed once, and only where the key can stand in it, be it as escapes
+    may = F.col("extra").contains("aliases") | F.col("extra").contains("\\u")
+    base = records.select("region", "name", bearer.alias("bearer"), lat.alias("lat"), lon.alias("lon"), county_key(F.col("county")).alias("county"), F.when(may, payload(F.col("extra"))).alias("_v"))
+    mine = base.select("region", F.explode(F.concat(F.array("name"), F.coalesce(aliases(F.col("_v")), F.array()))).alias("spelling"), "bearer", "lat", "lon", "county")
     there_lat, there_lon = repaired(F.col("location.lat"), F.col("location.lon"))
     theirs = towers.select("region", F.explode(F.concat(F.array("name"), F.coalesce("other_names", F.array()))).alias("spelling"), F.concat(F.lit("t:"), "id").alias("bearer"), there_lat.alias("lat"), there_lon.alias("lon"), county_key(F.col("county")).alias("county"))
     return mine.unionByName(theirs).where("region is not null and length(trim(spelling)) > 0")
