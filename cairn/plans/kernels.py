@@ -176,6 +176,10 @@ ORACLE = {
  g as (select *, a * (1 - f*(2-f)) / pow(1 - f*(2-f) * sin(p) * sin(p), 1.5) as m, a / sqrt(1 - f*(2-f) * sin(p) * sin(p)) as n, a * (1 - f) as b, 6378206.4 / sqrt(1 - e * sin(p) * sin(p)) as pn, radians(lon + 110) * sin(p) as turn from c)
  select id, round(lat + degrees((-8 * sin(p) * cos(o) + 160 * sin(p) * sin(o) - 176 * cos(p) + da * n * f*(2-f) * sin(p) * cos(p) / a + df * (m * a / b + n * b / a) * sin(p) * cos(p)) / m), 7) as lat27,
  round(lon + degrees((-8 * sin(o) - 160 * cos(o)) / (n * cos(p))), 7) as lon27, round(pn / tan(p) * sin(turn), 2) as px, round({_MER.format(p="p")} + pn / tan(p) * (1 - cos(turn)), 2) as py from g""",
+    # both towers sight the same point, so that is where their bearings cross
+    "crossing_fixes": f"""with {_PR}, t2 as (select *, {_dest('lat', 'lon', '60.0', '20000.0')[0]} as ty, {_dest('lat', 'lon', '60.0', '20000.0')[1]} as tx from p),
+ b as (select *, {_bear('lat', 'lon', 'ty', 'tx')} as b1, {_bear('lat2', 'lon2', 'ty', 'tx')} as b2, {_dist('lat2', 'lon2', 'ty', 'tx')} as far from t2), c as (select *, abs((b1 - b2 + 540) % 360 - 180) as cut from b)
+ select id, round(cut, 4) as cut, round(ty, 5) as lat, round(tx, 5) as lon, 3 as score from c where far < 149000 and cut between 2 and 178""",
     "quadrant_text": f"""with {_PR}, b as (select id, {_bear('lat', 'lon', 'lat2', 'lon2')} as b from p), q as (select id, case when b > 180 then b - 360 else b end as turn from b)
  select id, case when abs(turn) <= 90 then 'N ' || round(abs(turn), 1) else 'S ' || round(180 - abs(turn), 1) end || case when turn >= 0 then ' E' else ' W' end as quadrant, case when length(id) > 20 then rtrim(substr(id, 1, 19)) || '…' else id end as short from q""",
     "bearings": f"with {_PR}, b as (select id, {_dist('lat', 'lon', 'lat2', 'lon2')} as m, {_bear('lat', 'lon', 'lat2', 'lon2')} as b from p) select id, round(m, 2) as metres, round(b, 5) as bearing, ['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][(floor(b / 22.5 + 0.5)::int % 16) + 1] as compass from b",
