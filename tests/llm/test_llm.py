@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cairn import session
 from cairn.compare import differences, duck
 from cairn.llm import bpe, canonical, matching, mixing, queries, splitting, survivors, variants
 from cairn.llm.edits import BKTree, levenshtein, transposing
@@ -97,6 +99,32 @@ def test_tokens_are_aligned(spark):
     assert all(len({of[n][0] for n in g}) == 1 and of[g[0]][1] == len(g) - 1 for g in groups)
 
 
+def test_spellings_are_not_broadcast(spark, sf):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    assert queries.p4_found(spark, sf).count() and queries.p4_classes(spark, sf).count()
+    bus.waitUntilEmpty(30_000)
+    run = store.executionsList(before, 1000)
+    plans = [run.apply(i).physicalPlanDescription() for i in range(run.size())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_written_leaves_no_shuffles(spark):
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    df = spark.range(1000).repartition(5, "id")
+    for keep in (session.written, session.cut):
+        before = {*map(int, str(kept.keys().mkString(",")).split(","))} if kept.size() else set()
+        back = keep(df)
+        for _ in range(50):  # they go in the background
+            after = {*map(int, str(kept.keys().mkString(",")).split(","))} if kept.size() else set()
+            if after <= before:
+                break
+            time.sleep(0.1)
+        assert after <= before and back.count() == df.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_survivors_and_truth(spark):
     rows = spark.createDataFrame([(1, "g", 5, 1, "a"), (2, "g", 5, 1, "b"), (3, "g", 9, 0, ""), (4, "h", 1, 1, "a"), (5, None, 1, 1, "a"), (6, "g", None, 9, "c"), (7, "one", 1, 1, "a"), (8, "one", 1, 1, ""), (9, "two", 1, 1, ""), (10, "two", 1, 1, None)], "id bigint, k string, trust int, at int, v string")
     got = survivors.survivors(rows, "k", "id", {"v": F.col("v") != ""}, [F.coalesce("trust", F.lit(0)), F.col("at")]).collect()
